@@ -15,25 +15,32 @@ SOURCES = ("usgs", "bureau_reclamation", "noaa_forecast")
 # End of fixed values.
 
 
-def literal_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _quoted(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+
+def array_sql(values) -> str:
+    return f"array({', '.join(_quoted(v) for v in values)})"
 
 
 def lookup(key: Column, mapping: dict) -> Column:
     """Literal map lookup; null when the key is absent."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), key)
+    pairs = ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in mapping.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
 
+def code_sql(column: str, values) -> str:
+    """Position of a text in a fixed list; any other text is an error.
 
-def code_of(value: Column, values) -> Column:
-    """Position of a text in a fixed list. Aggregating codes keeps hash aggregation, which text
-    buffers would turn into a sort."""
-    code = F.array_position(literal_array(values), value).cast("int")
-    unknown = F.raise_error(F.concat(F.lit("value outside the fixed list: "), value))
-    return F.when(value.isNull(), F.lit(None).cast("int")).when(code > 0, code).otherwise(unknown.cast("int"))
+    Aggregating codes keeps hash aggregation, which text buffers would turn into a sort.
+    """
+    position = f"int(array_position({array_sql(values)}, {column}))"
+    unknown = f"int(raise_error(concat('value outside the fixed list: ', {column})))"
+    return f"CASE WHEN {column} IS NULL THEN NULL WHEN {position} > 0 THEN {position} ELSE {unknown} END"
 
 
-def text_of(code: Column, values) -> Column:
-    return F.try_element_at(literal_array(values), code)
+def text_sql(code: str, values) -> str:
+    return f"try_element_at({array_sql(values)}, {code})"
 
 
 def flow_rank(flow_range: Column) -> Column:

@@ -73,16 +73,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return counted.filter(F.col("copies") > 1)
 
 
-def _version(columns: Sequence[str]) -> Column:
-    # Several columns compare as a struct, which Spark aggregates by sorting.
-    return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
-
-
 def clean_readings(
     df: DataFrame,
     keys: Sequence[str] = (),
     on_duplicate: str = "error",
     version: Sequence[str] = ("utc_time",),
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     """Forecast cut-off, conflict filter and uniqueness in one aggregation per gauge and hour.
 
@@ -92,50 +88,49 @@ def clean_readings(
 
     ``on_duplicate="error"`` fails when two observed rows share a slot, and drops all forecasts of
     a slot that has several. ``"latest"`` keeps the row with the greatest ``version`` instead,
-    which must be unique within gauge, time and data type.
+    which must be unique within gauge, time and data type. ``latest`` overrides where the bound of
+    the cut-off is read from (columns: keys and ``max_observed``).
     """
     if on_duplicate not in ("error", "latest"):
         raise ValueError(f"unknown on_duplicate: {on_duplicate}")
     strict = on_duplicate == "error"
-    observed = _is_observed()
     values = ["flow_cfs", "stage_ft"]
     kept = [c for c in ("run_time",) if c in df.columns]
-    coded = df.withColumn("source_code", labels.code_of(F.col("source"), labels.SOURCES))
+    coded = df.withColumn("source_code", F.expr(labels.code_sql("source", labels.SOURCES)))
     carried = [*values, *kept, "source_code"]
+    # Several version columns compare as a struct, which Spark aggregates by sorting.
+    order = version[0] if len(version) == 1 else f"struct({', '.join(version)})"
 
-    def pick(column: str, when: Column) -> Column:
+    def pick(column: str) -> str:
         # In strict mode the picked row is the only one of its kind, so any maximum returns it.
-        if strict:
-            return F.max(F.when(when, F.col(column)))
-        return F.max_by(F.col(column), F.when(when, _version(version)))
+        return f"max({column})" if strict else f"max_by({column}, {order})"
 
+    kinds = {"observed": "data_type = 'observed'", "forecast": "data_type <> 'observed'"}
     slots = coded.groupBy(*keys, *SLOT).agg(
-        F.count(F.when(observed, 1)).alias("observed_rows"),
-        F.count(F.when(~observed, 1)).alias("forecast_rows"),
-        *[pick(c, observed).alias(f"observed_{c}") for c in carried],
-        *[pick(c, ~observed).alias(f"forecast_{c}") for c in carried],
+        *[F.expr(f"count(1) FILTER (WHERE {test}) AS {kind}_rows") for kind, test in kinds.items()],
+        *[
+            F.expr(f"{pick(c)} FILTER (WHERE {test}) AS {kind}_{c}")
+            for kind, test in kinds.items()
+            for c in carried
+        ],
     )
     has_observed = F.col("observed_rows") > 0
-    slots = forecast_cutoff(slots, keys, latest_observation(df, keys), has_observed)
+    bound = latest_observation(df, keys) if latest is None else latest
+    slots = forecast_cutoff(slots, keys, bound, has_observed)
     if strict:
-        slots = slots.filter(has_observed | (F.col("forecast_rows") == 1))
-        message = F.concat(
-            F.lit("duplicate observed readings remain after cleaning: gauge "),
-            F.col("gauge_id").cast("string"),
-            F.lit(" at "),
-            F.col("mountain_time").cast("string"),
+        slots = slots.filter("observed_rows > 0 OR forecast_rows = 1").filter(
+            "CASE WHEN observed_rows <= 1 THEN true ELSE boolean(raise_error(concat("
+            "'duplicate observed readings remain after cleaning: gauge ', gauge_id, ' at ', mountain_time))) END"
         )
-        unique = F.col("observed_rows") <= 1
-        slots = slots.filter(F.when(unique, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
-    def chosen(column: str) -> Column:
-        return F.when(has_observed, F.col(f"observed_{column}")).otherwise(F.col(f"forecast_{column}"))
+    def chosen(column: str) -> str:
+        return f"if(observed_rows > 0, observed_{column}, forecast_{column})"
 
-    return slots.select(
+    return slots.selectExpr(
         *keys,
         "gauge_id",
-        labels.text_of(chosen("source_code"), labels.SOURCES).alias("source"),
-        F.when(has_observed, F.lit("observed")).otherwise(F.lit("forecast")).alias("data_type"),
+        f"{labels.text_sql(chosen('source_code'), labels.SOURCES)} AS source",
+        "if(observed_rows > 0, 'observed', 'forecast') AS data_type",
         "mountain_time",
-        *[chosen(c).alias(c) for c in [*values, *kept]],
+        *[f"{chosen(c)} AS {c}" for c in [*values, *kept]],
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riffle import dims
@@ -32,7 +32,7 @@ def series_matrix(clean: DataFrame, series: dict[str, tuple[str, int]], keys: Se
     """
     blocked = _with_block(clean).repartition(*keys, BLOCK)
     cells = [
-        F.max(F.when(F.col("gauge_id") == gauge, F.col(metric))).alias(column)
+        F.expr(f"max({metric}) FILTER (WHERE gauge_id = {gauge}) AS `{column}`")
         for column, (metric, gauge) in series.items()
     ]
     return blocked.groupBy(*keys, BLOCK, *INDEX).agg(*cells)
@@ -52,30 +52,32 @@ def fill_gaps(matrix: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     leading gap takes the first value of the whole series.
     """
     blocked = matrix if BLOCK in matrix.columns else _with_block(matrix)
-    so_far = Window.partitionBy(*keys, BLOCK).orderBy(*INDEX).rowsBetween(Window.unboundedPreceding, 0)
-
-    def known_time(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.col("mountain_time"))
+    network = ", ".join(keys) or "0"
+    series = f"PARTITION BY {', '.join([*keys, BLOCK])} ORDER BY {', '.join(INDEX)}"
+    months = f"PARTITION BY {network} ORDER BY {BLOCK}"
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
     # One row per network and month.
     edges = blocked.groupBy(*keys, BLOCK).agg(
-        *[F.max_by(c, known_time(c)).alias(f"last_{c}") for c in columns],
-        *[F.min_by(c, known_time(c)).alias(f"first_{c}") for c in columns],
+        *[F.expr(f"max_by(`{c}`, mountain_time) FILTER (WHERE `{c}` IS NOT NULL) AS `last_{c}`") for c in columns],
+        *[F.expr(f"min_by(`{c}`, mountain_time) FILTER (WHERE `{c}` IS NOT NULL) AS `first_{c}`") for c in columns],
     )
-    months = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)
-    earlier = months.rowsBetween(Window.unboundedPreceding, -1)
-    whole = months.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carry = edges.select(
+    carry = edges.selectExpr(
         *keys,
         BLOCK,
-        *[F.last(f"last_{c}", ignorenulls=True).over(earlier).alias(f"carry_{c}") for c in columns],
-        *[F.first(f"first_{c}", ignorenulls=True).over(whole).alias(f"lead_{c}") for c in columns],
+        *[
+            f"coalesce(last(`last_{c}`) IGNORE NULLS OVER ({months} {earlier}), "
+            f"first(`first_{c}`) IGNORE NULLS OVER ({months} {whole}), 0D) AS `before_{c}`"
+            for c in columns
+        ],
     )
-    forward = blocked.select(
-        *keys, BLOCK, *INDEX, *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in columns]
+    forward = blocked.selectExpr(
+        *keys, BLOCK, *INDEX, *[f"last(`{c}`) IGNORE NULLS OVER ({series} {so_far}) AS `{c}`" for c in columns]
     )
-    return forward.join(carry, [*keys, BLOCK]).select(
-        *keys, *INDEX, *[F.coalesce(c, f"carry_{c}", f"lead_{c}", F.lit(0.0)).alias(c) for c in columns]
+    return forward.join(carry, [*keys, BLOCK]).selectExpr(
+        *keys, *INDEX, *[f"coalesce(`{c}`, `before_{c}`) AS `{c}`" for c in columns]
     )
 
 
@@ -85,18 +87,16 @@ def filled_gauges(clean: DataFrame, metric: str, keys: Sequence[str] = ()) -> Da
     return fill_gaps(series_matrix(clean, columns, keys), list(columns), keys)
 
 
-def formula(series: dims.Series, column_of=lambda gauge: F.col(str(gauge))) -> Column:
+def formula(series: dims.Series, column_of=str) -> str:
     """Signed sum of gauge columns, evaluated from left to right."""
-    total = column_of(series.terms[0])
-    for term in series.terms[1:]:
-        total = total + column_of(term) if term > 0 else total - column_of(-term)
-    return total
+    signed = [f"{'-' if term < 0 else '+'} `{column_of(abs(term))}`" for term in series.terms]
+    return " ".join(signed).removeprefix("+ ")
 
 
 def section_levels_wide(clean: DataFrame, metric: str, keys: Sequence[str] = ()) -> DataFrame:
     """One column per derived series (``section_id_1`` to ``section_id_27`` and the ``_max`` ones)."""
     filled = filled_gauges(clean, metric, keys)
-    return filled.select(*keys, *INDEX, *[formula(s).alias(s.column) for s in dims.SERIES])
+    return filled.selectExpr(*keys, *INDEX, *[f"{formula(s)} AS {s.column}" for s in dims.SERIES])
 
 
 def to_long(wide: DataFrame, flow_unit: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -118,20 +118,16 @@ def level_union(feet: DataFrame, cfs: DataFrame) -> DataFrame:
     return feet.unionByName(cfs)
 
 
-def level_structs(column_of) -> Column:
-    """All series, each in the unit of its own section, as an array for ``inline``."""
+def unit_levels() -> str:
+    """All series, each in the unit of its own section, as an ``inline`` over the filled columns."""
 
-    def one(s: dims.Series) -> Column:
+    def one(s: dims.Series) -> str:
         unit = dims.UNIT_OF_SECTION[s.section_id]
-        level = formula(s, lambda gauge: column_of(dims.METRIC_OF_UNIT[unit], gauge))
-        return F.struct(
-            level.cast("float").alias("river_level"),
-            F.lit(s.section_id).alias("section_id"),
-            F.lit(s.flow_type).alias("flow_type"),
-            F.lit(unit).alias("flow_unit"),
-        )
+        level = formula(s, lambda gauge: f"{dims.METRIC_OF_UNIT[unit]}_{gauge}")
+        return f"struct(float({level}), {s.section_id}, '{s.flow_type}', '{unit}')"
 
-    return F.array(*[one(s) for s in dims.SERIES])
+    rows = ", ".join(one(s) for s in dims.SERIES)
+    return f"inline(array({rows})) AS (river_level, section_id, flow_type, flow_unit)"
 
 
 def unit_series() -> dict[str, tuple[str, int]]:
@@ -149,7 +145,7 @@ def section_levels(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     series = unit_series()
     filled = fill_gaps(series_matrix(clean, series, keys), list(series), keys)
-    return filled.select(*keys, *INDEX, F.inline(level_structs(lambda metric, gauge: F.col(f"{metric}_{gauge}"))))
+    return filled.selectExpr(*keys, *INDEX, unit_levels())
 
 
 def section_levels_long(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riffle import dims
@@ -20,24 +20,23 @@ def latest_section(ranges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     ``max_by`` keeps one candidate per group in every task, so no series is gathered or sorted.
     """
-    when = F.col("mountain_time")
     newest = (
         ranges.filter(F.col("data_type") == "observed")
         .groupBy(*keys, "section_name", "flow_type")
         .agg(
-            F.max_by("river_level", when).alias("level"),
-            F.max_by(labels.code_of(F.col("flow_range"), labels.CLASSES), when).alias("class_code"),
-            F.max_by(F.col("flow_unit") == "feet", when).alias("in_feet"),
-            F.max_by("river_id", when).alias("river_id"),
+            F.expr("max_by(river_level, mountain_time) AS level"),
+            F.expr(f"max_by({labels.code_sql('flow_range', labels.CLASSES)}, mountain_time) AS class_code"),
+            F.expr("max_by(flow_unit = 'feet', mountain_time) AS in_feet"),
+            F.expr("max_by(river_id, mountain_time) AS river_id"),
         )
     )
-    unit = F.when(F.col("in_feet"), F.lit("feet")).otherwise(F.lit("cfs"))
+    unit = F.expr("if(in_feet, 'feet', 'cfs')")
     return newest.select(
         *keys,
         "section_name",
         "flow_type",
         numbers.round_level(F.col("level"), unit).alias("river_level"),
-        labels.text_of(F.col("class_code"), labels.CLASSES).alias("flow_range"),
+        F.expr(f"{labels.text_sql('class_code', labels.CLASSES)} AS flow_range"),
         "river_id",
     )
 
@@ -50,32 +49,22 @@ def snapshot_levels(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     the history is reduced in the map tasks to one row per gauge.
     """
     metrics = sorted(set(dims.METRIC_OF_UNIT.values()))
-    observed = F.col("data_type") == "observed"
-
-    def time_of(metric: str, kind: Column) -> Column:
-        return F.when(kind & F.col(metric).isNotNull(), F.col("mountain_time"))
-
     gauges = clean.groupBy(*keys, "gauge_id").agg(
-        F.max(F.when(observed, F.col("mountain_time"))).alias("observed_until"),
-        *[F.max_by(m, time_of(m, observed)).alias(f"last_{m}") for m in metrics],
-        *[F.min_by(m, time_of(m, ~observed)).alias(f"next_{m}") for m in metrics],
-    )
-    series = levels.unit_series()
-    networks = gauges.groupBy(*keys).agg(
-        F.max("observed_until").alias("mountain_time"),
+        F.expr("max(mountain_time) FILTER (WHERE data_type = 'observed') AS observed_until"),
         *[
-            # Only nulls become zero; NaN is a value.
-            F.coalesce(
-                F.max(F.when(F.col("gauge_id") == g, F.coalesce(f"last_{m}", f"next_{m}"))), F.lit(0.0)
-            ).alias(column)
-            for column, (m, g) in series.items()
+            F.expr(f"{pick}({m}, mountain_time) FILTER (WHERE data_type {kind} AND {m} IS NOT NULL) AS {name}_{m}")
+            for m in metrics
+            for pick, kind, name in (("max_by", "= 'observed'", "last"), ("min_by", "<> 'observed'", "next"))
         ],
     )
-    return networks.filter(F.col("mountain_time").isNotNull()).select(
-        *keys,
-        "mountain_time",
-        F.lit("observed").alias("data_type"),
-        F.inline(levels.level_structs(lambda metric, gauge: F.col(f"{metric}_{gauge}"))),
+    # Only nulls become zero; NaN is a value.
+    cells = [
+        F.expr(f"coalesce(max(coalesce(last_{m}, next_{m})) FILTER (WHERE gauge_id = {g}), 0D) AS {column}")
+        for column, (m, g) in levels.unit_series().items()
+    ]
+    networks = gauges.groupBy(*keys).agg(F.max("observed_until").alias("mountain_time"), *cells)
+    return networks.filter("mountain_time IS NOT NULL").selectExpr(
+        *keys, "mountain_time", "'observed' AS data_type", levels.unit_levels()
     )
 
 
@@ -98,22 +87,21 @@ def snapshot_section(clean: DataFrame, sections: DataFrame, keys: Sequence[str]
 
 def current_pivot(latest: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per section: standard and max level with their classes side by side."""
-    standard, top = (F.col("flow_type") == kind for kind in ("standard", "max"))
-    code = labels.code_of(F.col("flow_range"), labels.CLASSES)
+    code = labels.code_sql("flow_range", labels.CLASSES)
     wide = latest.groupBy(*keys, "section_name", "river_id").agg(
-        F.max(F.when(standard, F.col("river_level"))).alias("river_level"),
-        F.max(F.when(standard, code)).alias("class_code"),
-        F.max(F.when(top, F.col("river_level"))).alias("river_level_max"),
-        F.max(F.when(top, code)).alias("class_code_max"),
+        F.expr("max(river_level) FILTER (WHERE flow_type = 'standard') AS river_level"),
+        F.expr(f"max({code}) FILTER (WHERE flow_type = 'standard') AS class_code"),
+        F.expr("max(river_level) FILTER (WHERE flow_type = 'max') AS river_level_max"),
+        F.expr(f"max({code}) FILTER (WHERE flow_type = 'max') AS class_code_max"),
     )
-    return wide.select(
+    return wide.selectExpr(
         *keys,
         "section_name",
         "river_id",
         "river_level",
-        labels.text_of(F.col("class_code"), labels.CLASSES).alias("flow_range"),
+        f"{labels.text_sql('class_code', labels.CLASSES)} AS flow_range",
         "river_level_max",
-        labels.text_of(F.col("class_code_max"), labels.CLASSES).alias("flow_range_max"),
+        f"{labels.text_sql('class_code_max', labels.CLASSES)} AS flow_range_max",
     )
 
 

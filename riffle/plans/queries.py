@@ -41,7 +41,10 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:
-    return clean.clean_readings(_raw(spark, sf_dir), keys, on_duplicate="latest", version=events.VERSION)
+    raw = _raw(spark, sf_dir)
+    hourly = events.hourly_readings(raw, keys)
+    bound = events.latest_observation(raw, keys)
+    return clean.clean_readings(hourly, keys, on_duplicate="latest", version=events.VERSION, latest=bound)
 
 
 def _ranges(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:

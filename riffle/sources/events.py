@@ -7,7 +7,7 @@ so ``event_id`` serves as the version that decides between them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riffle import dims
@@ -17,60 +17,75 @@ NETWORK_KEYS = ("network_id",)
 VERSION = ("event_id",)
 FORECAST_TYPES = ("signup", "error")
 OBSERVED_END = "2024-01-25 00:00:00"
-RUN_TIME = "2024-01-25 06:30:00"
+GAUGE_COUNT = len(dims.GAUGE_IDS)
+_RECLAMATION = ", ".join(str(row[0]) for row in dims.GAUGE_ROWS if row[6] == "bureau_reclamation")
+SOURCE = (
+    "CASE WHEN data_type = 'forecast' THEN 'noaa_forecast' "
+    f"WHEN gauge_id IN ({_RECLAMATION}) THEN 'bureau_reclamation' ELSE 'usgs' END"
+)
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def gauge_id() -> Column:
-    return (F.col("user_id") % len(dims.GAUGE_IDS) + 1).cast("int")
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable event as one reading; nothing is deduplicated here.
 
+    ``utc_hour`` is cheap to cut out of every row. The local time is derived from it, and only
+    computed where a query uses it.
+    """
+    forecast = f"event_type IN ({', '.join(repr(t) for t in FORECAST_TYPES)})"
+    usable = read_events(spark, sf_dir).filter(f"{forecast} OR ts < TIMESTAMP_NTZ'{OBSERVED_END}'")
+    bound = usable.selectExpr(
+        "event_id",
+        f"user_id div {GAUGE_COUNT} AS network_id",
+        f"int(user_id % {GAUGE_COUNT} + 1) AS gauge_id",
+        f"if({forecast}, 'forecast', 'observed') AS data_type",
+        "ts AS utc_time",
+        "value",
+        "try_cast(get_json_object(props, '$.k') AS int) AS k",
+    )
+    hour = times.floor_hour(F.col("utc_time"))
+    return bound.select(
+        "*",
+        hour.alias("utc_hour"),
+        times.to_local(hour).alias("mountain_time"),
+        F.expr("if(k >= 5, value * 40, null) AS flow_cfs"),
+        F.expr("if(k < 95, value / 15, null) AS stage_ft"),
+        F.expr("if(k < 50, '00060', '00065') AS parameter_code"),
+        F.expr(f"{SOURCE} AS source"),
+    )
 
-def _source(data_type: Column, gauge: Column) -> Column:
-    reclamation = [row[0] for row in dims.GAUGE_ROWS if row[6] == "bureau_reclamation"]
-    observed = F.when(gauge.isin(reclamation), F.lit("bureau_reclamation")).otherwise(F.lit("usgs"))
-    return F.when(data_type == "forecast", F.lit("noaa_forecast")).otherwise(observed)
 
+def with_names(df: DataFrame) -> DataFrame:
+    return df.withColumn("gauge_name", labels.lookup(F.col("gauge_id"), dims.GAUGE_NAMES))
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every usable event as one reading; nothing is deduplicated here."""
-    is_forecast = F.col("event_type").isin(*FORECAST_TYPES)
-    usable = read_events(spark, sf_dir).filter(is_forecast | (F.col("ts") < times.ntz(OBSERVED_END)))
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    data_type = F.when(is_forecast, F.lit("forecast")).otherwise(F.lit("observed"))
-    return usable.select(
-        "event_id",
-        F.expr(f"user_id div {len(dims.GAUGE_IDS)}").alias("network_id"),
-        gauge_id().alias("gauge_id"),
-        labels.lookup(gauge_id(), dims.GAUGE_NAMES).alias("gauge_name"),
-        _source(data_type, gauge_id()).alias("source"),
-        data_type.alias("data_type"),
-        F.col("ts").alias("utc_time"),
-        times.floor_hour(times.to_local(F.col("ts"))).alias("mountain_time"),
-        F.when(k >= 5, F.col("value") * 40).alias("flow_cfs"),
-        F.when(k < 95, F.col("value") / 15).alias("stage_ft"),
-        F.when(k < 50, F.lit("00060")).otherwise(F.lit("00065")).alias("parameter_code"),
-        "value",
-        k.alias("k"),
+
+def hourly_readings(df: DataFrame, keys=()) -> DataFrame:
+    """Latest event per gauge, data type and UTC hour, then moved to local time.
+
+    Reducing first leaves the zone conversion with one row per gauge and hour instead of one per
+    event. Where two UTC hours share a local one, the cleaning decides by ``event_id`` again.
+    """
+    latest = df.groupBy(*keys, "gauge_id", "data_type", "utc_hour").agg(
+        F.expr("max_by(flow_cfs, event_id) AS flow_cfs"),
+        F.expr("max_by(stage_ft, event_id) AS stage_ft"),
+        F.expr("max(event_id) AS event_id"),
     )
+    local = latest.withColumn("mountain_time", times.to_local(F.col("utc_hour")))
+    return local.withColumn("source", F.expr(SOURCE))
+
+
+def latest_observation(df: DataFrame, keys=()) -> DataFrame:
+    """The cut-off bound from a narrow scan of the events; whole hours keep their order in local time."""
+    newest = df.filter("data_type = 'observed'").groupBy(*keys).agg(F.max("utc_hour").alias("utc_hour"))
+    return newest.select(*keys, times.to_local(F.col("utc_hour")).alias("max_observed"))
 
 
 def distinct_readings(df: DataFrame, keys=()) -> DataFrame:
-    """Latest event per gauge, data type and hour."""
-    version = F.col(VERSION[0])
+    """Latest event per gauge, data type and local hour."""
     newest = df.groupBy(*keys, "gauge_id", "data_type", "mountain_time").agg(
-        F.max_by("flow_cfs", version).alias("flow_cfs"),
-        F.max_by("stage_ft", version).alias("stage_ft"),
-    )
-    return newest.select(
-        *keys,
-        "gauge_id",
-        labels.lookup(F.col("gauge_id"), dims.GAUGE_NAMES).alias("gauge_name"),
-        _source(F.col("data_type"), F.col("gauge_id")).alias("source"),
-        "data_type",
-        "mountain_time",
-        "flow_cfs",
-        "stage_ft",
+        F.expr("max_by(flow_cfs, event_id) AS flow_cfs"), F.expr("max_by(stage_ft, event_id) AS stage_ft")
     )
+    return newest.withColumn("source", F.expr(SOURCE))
