@@ -15,17 +15,22 @@ LOCAL_FORM = r"^\d{4}-\d\d-\d\d \d\d:\d\d$"
 # End of fixed values.
 
 
+def parse_epoch(text: Column) -> Column:
+    """ISO text with ``Z`` or an offset as epoch seconds; null when it does not have that form.
+
+    The cast sees an explicit offset in every accepted text, so the session zone plays no part.
+    """
+    return F.when(text.rlike(INSTANT_FORM), F.unix_seconds(text.try_cast("timestamp")))
+
+
+def from_epoch(seconds: Column) -> Column:
+    """Epoch seconds as UTC wall clock."""
+    return F.timestamp_add("SECOND", seconds, ntz("1970-01-01 00:00:00"))
+
+
 def parse_instant(text: Column) -> Column:
     """ISO text with ``Z`` or an offset as UTC wall clock; null when it does not have that form."""
-    wall = F.substring(text, 1, 19).try_cast("timestamp_ntz")
-    offset = F.substring(text, 20, 6)
-    sign = F.when(offset.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    # "Z" yields no digits, hence an offset of zero.
-    digits = F.rpad(F.regexp_replace(offset, r"\D", ""), 4, "0")
-    hours = F.substring(digits, 1, 2).try_cast("int") * sign
-    minutes = F.substring(digits, 3, 2).try_cast("int") * sign
-    utc = wall - F.make_dt_interval(F.lit(0), hours, minutes)
-    return F.when(text.rlike(INSTANT_FORM), utc)
+    return from_epoch(parse_epoch(text))
 
 
 def parse_local(text: Column) -> Column:

@@ -69,10 +69,19 @@ def _finish(df: DataFrame, rows: Column, readings: Column) -> DataFrame:
     )
 
 
-def _hourly_local(points: Column) -> Column:
-    """Points of (utc_time, flow, stage) on the whole hour, with their local time."""
-    on_hour = F.filter(points, lambda p: times.on_the_hour(p["at"]))
-    return F.transform(on_hour, lambda p: _reading(p["at"], times.to_local(p["at"]), p["flow"], p["stage"]))
+def _minute(time: Column) -> Column:
+    """Epoch seconds of the minute a time text falls into; null when it is unreadable."""
+    # One mention of the parsed time: inside a lambda every mention is evaluated.
+    return F.floor(times.parse_epoch(time) / 60) * 60
+
+
+def _on_hour(at: Column) -> Column:
+    return F.pmod(at, F.lit(3600)) == 0
+
+
+def _utc_reading(at: Column, flow: Column, stage: Column) -> Column:
+    utc = times.from_epoch(at)
+    return _reading(utc, times.to_local(utc), flow, stage)
 
 
 def forecast_calls(payloads: DataFrame) -> DataFrame:
@@ -81,8 +90,7 @@ def forecast_calls(payloads: DataFrame) -> DataFrame:
 
     def point(p: Column) -> Column:
         flow, stage = unit_fields(unit, p["primary"], p["secondary"])
-        at = times.floor_minute(times.parse_instant(p["validTime"]))
-        return F.struct(at.alias("at"), flow.alias("flow"), stage.alias("stage"))
+        return F.struct(_minute(p["validTime"]).alias("at"), flow.alias("flow"), stage.alias("stage"))
 
     points = F.col("points")
     decoded = payloads.withColumn("doc", F.from_json("payload", FORECAST_DOC, _JSON))
@@ -95,7 +103,9 @@ def forecast_calls(payloads: DataFrame) -> DataFrame:
             unreadable_time=F.exists(points, lambda p: p["at"].isNull()),
         ),
     )
-    return _finish(checked, F.coalesce(F.array_size(points), F.lit(0)), _hourly_local(points)).drop("doc", "points")
+    on_hour = F.filter(points, lambda p: _on_hour(p["at"]))
+    hourly = F.transform(on_hour, lambda p: _utc_reading(p["at"], p["flow"], p["stage"]))
+    return _finish(checked, F.coalesce(F.array_size(points), F.lit(0)), hourly).drop("doc", "points")
 
 
 def observed_calls(payloads: DataFrame) -> DataFrame:
@@ -108,7 +118,7 @@ def observed_calls(payloads: DataFrame) -> DataFrame:
         p = f["properties"]
         return F.struct(
             p["time"].alias("time"),
-            times.floor_minute(times.parse_instant(p["time"])).alias("at"),
+            _minute(p["time"]).alias("at"),
             p["parameter_code"].alias("code"),
             numbers.lenient_double(p["value"]).alias("value"),
         )
@@ -124,16 +134,16 @@ def observed_calls(payloads: DataFrame) -> DataFrame:
             record_without_code=F.exists(records, lambda r: r["code"].isNull()),
             unreadable_value=F.exists(records, lambda r: r["value"].isNull()),
             unreadable_time=F.exists(records, lambda r: r["at"].isNull()),
-            repeated_record=F.array_size(F.array_distinct(cells)) < F.array_size(cells),
+            repeated_record=F.array_size(F.array_distinct(cells)) < F.array_size(records),
         ),
-    ).withColumn("hours", F.filter(records, lambda r: times.on_the_hour(r["at"])))
+    ).withColumn("hours", F.filter(records, lambda r: _on_hour(r["at"])))
 
     def value_at(code: str, time: Column) -> Column:
         return F.get(F.filter(hours, lambda r: (r["code"] == code) & (r["time"] == time)), 0)["value"]
 
     def reading(time: Column) -> Column:
         at = F.get(F.filter(hours, lambda r: r["time"] == time), 0)["at"]
-        return _reading(at, times.to_local(at), value_at(FLOW_CODE, time), value_at(STAGE_CODE, time))
+        return _utc_reading(at, value_at(FLOW_CODE, time), value_at(STAGE_CODE, time))
 
     distinct_times = F.array_distinct(F.transform(records, lambda r: r["time"]))
     hour_times = F.array_distinct(F.transform(hours, lambda r: r["time"]))

@@ -39,10 +39,9 @@ def audit(spark, rows, gauges=None):
     return {(r.gauge_name, r.source): (r.identifier, r.data_type, r.rows, r.error) for r in table.collect()}
 
 
-@pytest.mark.parametrize("text", [FORECAST_KCFS, FORECAST_FEET])
-def test_forecast_units(spark, text):
-    expected = [(1, "noaa_forecast", "forecast", datetime(2026, 4, 1, 6), 1500.0, 3.0)]
-    assert readings(spark, [("noaa", 1, text)]) == expected
+def test_forecast_units(spark):
+    rest = ("noaa_forecast", "forecast", datetime(2026, 4, 1, 6), 1500.0, 3.0)
+    assert readings(spark, [("noaa", 1, FORECAST_KCFS), ("noaa", 2, FORECAST_FEET)]) == [(1, *rest), (2, *rest)]
 
 
 def test_empty_forecast_is_audited_without_error(spark):
@@ -97,12 +96,13 @@ BROKEN = {
 }
 
 
-@pytest.mark.parametrize("case", BROKEN)
-def test_a_malformed_record_fails_its_call_only(spark, case):
-    source, gauge, text, error = BROKEN[case]
-    good = ("noaa", 1, FORECAST_KCFS)
-    assert [r[0] for r in readings(spark, [(source, gauge, text), good])] == [1]
-    assert audit(spark, [(source, gauge, text), good])[(dims.GAUGE_NAMES[gauge], source)][2:] == (0, error)
+def test_a_malformed_record_fails_its_call_only(spark):
+    rows = [(source, gauge, case, text) for case, (source, gauge, text, _) in BROKEN.items()]
+    rows.append(("noaa", 1, "good", FORECAST_KCFS))
+    calls = ingest.parse_calls(spark.createDataFrame(rows, schemas.PAYLOADS), dims.gauges(spark))
+    found = {r.call_id: (r.rows, r.error) for r in calls.select("call_id", "rows", "error").collect()}
+    assert found == {"good": (1, None), **{case: (0, error) for case, (*_, error) in BROKEN.items()}}
+    assert [r.gauge_id for r in ingest.readings_of(calls).collect()] == [1]
 
 
 def test_routing_follows_the_registry(spark):
