@@ -47,6 +47,15 @@ def floor_hour(ts: Column) -> Column:
     return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts), F.extract(F.lit("SECOND"), ts))
 
 
+def hour_number(ts: Column) -> Column:
+    """Whole hours since 1970 on the clock of ``ts``: a cheaper grouping key than the hour itself."""
+    return F.unix_date(ts.cast("date")) * 24 + F.hour(ts)
+
+
+def from_hour(number: Column) -> Column:
+    return F.timestamp_add("HOUR", number, ntz("1970-01-01 00:00:00"))
+
+
 def on_the_hour(ts: Column) -> Column:
     return F.minute(ts) == 0
 

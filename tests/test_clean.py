@@ -166,3 +166,14 @@ def test_lookback_reaches_the_scan(spark, tmp_path):
     assert sorted(r.flow_cfs for r in recent.collect()) == [float(h) for h in range(6, 31)]
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(mountain_time,2026-04-01T06:00)" in plan
+
+
+def test_props_number_with_and_without_the_short_cut(spark):
+    from riffle.sources import events
+
+    texts = ['{"k": 7}', '{"k": 07}', '{"k": +7}', '{"k":8}', '{"j": 1, "k": 9}', '{"k": 1, "j": 2}', '{"k": "3"}', "{", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, props string")
+    both = df.selectExpr("i", f"{events._k()} AS k", "try_cast(get_json_object(props, '$.k') AS int) AS slow").orderBy("i")
+    rows = both.collect()
+    assert [r.k for r in rows] == [r.slow for r in rows]
+    assert [rows[0].k, rows[3].k, rows[4].k] == [7, 8, 9]

@@ -68,6 +68,8 @@ def test_times_do_not_depend_on_the_session_zone(spark, zone):
         gap = [datetime(2026, 3, 8, 2, 30, 45, 5), None]
         assert each(spark, times.floor_hour, gap, "timestamp_ntz") == [datetime(2026, 3, 8, 2), None]
         assert each(spark, times.floor_minute, gap, "timestamp_ntz") == [datetime(2026, 3, 8, 2, 30), None]
+        hours = each(spark, lambda c: times.from_hour(times.hour_number(c)), gap + [datetime(1969, 12, 31, 23, 59)], "timestamp_ntz")
+        assert hours == [datetime(2026, 3, 8, 2), None, datetime(1969, 12, 31, 23)]
         assert one(spark, times.parse_instant(F.lit("2026-03-08T02:30:00Z"))) == datetime(2026, 3, 8, 2, 30)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
