@@ -322,8 +322,9 @@ def sql() -> dict[str, str]:
         "forecast_cutoff": f"WITH {chain} SELECT gauge_id, data_type, mountain_time, flow_cfs, stage_ft FROM after_bound",
         "conflict_filter": f"""WITH {RAW} SELECT event_id, gauge_id, source, data_type, mountain_time FROM raw
             QUALIFY count(source) OVER (PARTITION BY gauge_id, mountain_time) = 1 OR data_type = 'observed'""",
-        "clean_readings": f"""WITH {chain} SELECT gauge_id, source, data_type, mountain_time, flow_cfs, stage_ft,
-            TIMESTAMP '{q.STAMP}' AS run_time FROM clean""",
+        "clean_readings": f"""WITH {chain}, {GAUGE_TABLE}
+            SELECT gauge_id, gauge_name, source, data_type, mountain_time, flow_cfs, stage_ft,
+            TIMESTAMP '{q.STAMP}' AS run_time FROM clean JOIN gauges USING (gauge_id)""",
         "clean_readings_latest": f"""WITH {chain}
             SELECT gauge_id, source, data_type, mountain_time, flow_cfs, stage_ft FROM clean""",
         "clean_readings_networks": f"""WITH {net}

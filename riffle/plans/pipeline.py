@@ -34,6 +34,12 @@ def gauge_dim(spark: SparkSession) -> DataFrame:
     return F.broadcast(dims.gauges(spark))
 
 
+def with_gauge_names(cleaned: DataFrame) -> DataFrame:
+    """Names belong to gauges, so they are added after the readings have been reduced."""
+    names = gauge_dim(cleaned.sparkSession).select("gauge_id", "gauge_name")
+    return cleaned.join(names, "gauge_id", "left")
+
+
 def ranges_of(cleaned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Classified levels of every series at every time."""
     return classify.level_ranges(levels.section_levels(cleaned, keys), section_dim(cleaned.sparkSession), keys)
@@ -58,4 +64,4 @@ def run(
     to ``ranges_of`` and ``current_of``, so that the readings are reduced only once.
     """
     cleaned = clean.clean_readings(readings, keys, on_duplicate, version)
-    return Result(current_of(cleaned, keys), ranges_of(cleaned, keys), audit, cleaned)
+    return Result(current_of(cleaned, keys), ranges_of(cleaned, keys), audit, with_gauge_names(cleaned))

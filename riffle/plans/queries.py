@@ -230,7 +230,7 @@ def conflict_filter(spark, sf_dir):
 def clean_readings(spark, sf_dir):
     """Strict form: a second observed reading in a gauge hour would be an error."""
     rows = selection.stamp_run(events.distinct_readings(_raw(spark, sf_dir)), STAMP)
-    return clean.clean_readings(rows)
+    return pipeline.with_gauge_names(clean.clean_readings(rows))
 
 
 @_query

@@ -50,9 +50,10 @@ SECTIONS = _struct(
 
 COEFFICIENTS = _struct("section_id int, flow_type string, gauge_id int, coef double")
 
+# utc_time is the instant behind mountain_time; cleaning needs it where two instants share a local hour.
 READINGS = _struct(
     "gauge_name string, gauge_id int, source string, data_type string, "
-    "mountain_time timestamp_ntz, flow_cfs double, stage_ft double, run_time timestamp_ntz"
+    "utc_time timestamp_ntz, mountain_time timestamp_ntz, flow_cfs double, stage_ft double, run_time timestamp_ntz"
 )
 
 AUDIT = _struct(

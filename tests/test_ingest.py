@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riffle import dims, schemas
+from riffle.plans import pipeline
 from riffle.sources import ingest, payloads, sink
 from riffle.streaming import refresh
 
@@ -174,6 +175,27 @@ def test_stored_refresh_is_reused_for_an_hour(spark, landing, tmp_path):
     assert {r.run_time for r in readings_again.collect()} == {late}
 
 
+def test_landed_files_to_current_levels(spark, landing, tmp_path):
+    def refresh_now():
+        return ingest.read_all(payloads.read_landing(spark, landing), dims.gauges(spark), RUN)
+
+    readings_table, audit_table = sink.load_or_refresh(spark, str(tmp_path / "store"), RUN, refresh_now)
+    result = pipeline.run(readings_table, audit_table, on_duplicate="latest")
+    # The latest observation is at 11:00 on gauge 13, so only the forecast for 14:00 counts.
+    rows = result.clean.select("gauge_id", "gauge_name", "data_type", "mountain_time", "run_time").collect()
+    assert {(r.gauge_id, r.data_type, r.mountain_time.hour) for r in rows} == {
+        (2, "observed", 6),
+        (13, "observed", 10),
+        (13, "observed", 11),
+        (2, "forecast", 14),
+    }
+    assert all(r.gauge_name == dims.GAUGE_NAMES[r.gauge_id] and r.run_time == RUN for r in rows)
+    assert result.ranges.count() == 4 * 30
+    current = {name: r for r in result.current.collect() for name in r.sections.split(", ")}
+    assert (current["The Main"].river_level, current["The Main"].flow_range) == ("1,500", "Low")
+    assert (current["The Cabarton"].river_level, current["The Cabarton"].river_level_max) == ("1,235", "0")
+
+
 def test_streaming_refresh_stores_landed_calls_once(spark, landing, tmp_path):
     path = str(tmp_path / "store")
     for _ in range(2):
