@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Audit source names, and the data sources they stand for.
-AUDIT_OF_API = {"waterdata_usgs": "usgs", "bureau_reclamation": "bureau_rec"}
-AUDIT_OF_SOURCE = {"usgs": "usgs", "bureau_reclamation": "bureau_rec", "noaa_forecast": "noaa"}
+# Fixed value: how the audit names the forecast source. The audit and the readings name sources differently.
 FORECAST_SOURCE = "noaa"
-# End of fixed values.
 
 
 def expected_calls(gauges: DataFrame) -> DataFrame:
