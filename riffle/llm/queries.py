@@ -5,12 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riffle.llm import neighbours, topk
+from riffle.llm import neighbours, packing, planes, shared, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Job parameters of the registered runs.
+SEQUENCE = 2048
+
+
+def tokenizer_file(name: str) -> str:
+    """A public vocabulary file; every machine has the package that holds them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,6 +31,22 @@ def op1_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20, scale=64)
 
 
+def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.cut(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE)
+    pieces = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(shared.stored(pieces, "pieces"), SEQUENCE)
+
+
+def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = shared.scratch(spark, "planes")
+    docs = _table(spark, sf_dir, "documents")
+    first = planes.starts(planes.write(docs, directory, tokenizer_file("byte_bpe_50k.json")))
+    found = planes.read(spark, directory)
+    found = found.select("file", "doc_id", "start_in_file", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    placed = found.join(first, "file").withColumn("start", F.col("first") + F.col("start_in_file"))
+    return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
 
@@ -26,5 +54,7 @@ def op10_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         "op1_bit_sliced_topk": op1_bit_sliced_topk,
+        "op5_complement_packing": op5_complement_packing,
+        "op6_plane_files": op6_plane_files,
         "op10_int8_neighbours": op10_int8_neighbours,
     }
