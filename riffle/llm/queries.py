@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import neighbours, packing, planes, shared, topk
+from riffle.llm import mixing, neighbours, packing, planes, secret_scan, shared, topk, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 # Job parameters of the registered runs.
 SEQUENCE = 2048
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+MIX_WEIGHTS, MIX_SHARE, MIX_MOST = [5, 2, 1], 1.5, 2
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,6 +39,35 @@ def op1_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20, scale=64)
 
 
+def _ranks() -> tuple[str, str]:
+    import public_tokenizers
+
+    return tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled bad if its label says poor quality or toxic."""
+    pages = _table(spark, sf_dir, "pages")
+    labels = _table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), F.expr("quality = 0 OR toxic = 1").alias("bad")
+    )
+    parts = url_rules.tokens(url_rules.host(F.col("url")), url_rules.path(F.col("url")))
+    labelled = pages.select("page_id", parts.alias("tokens")).join(labels, "page_id")
+    mined = url_rules.mine(labelled, min_support=0.01, min_confidence=0.6)
+    return url_rules.judge(pages, mined, URL_RULES)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), *_ranks())
+    spans = F.col("secrets")
+    return found.select(
+        "doc_id",
+        *[secret_scan.count(spans, kind).alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        F.sha2(secret_scan.listed(spans, secret_scan.BASE_KINDS), 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+    )
+
+
 def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.cut(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE)
     pieces = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -47,6 +84,11 @@ def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op10_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
 
@@ -54,7 +96,10 @@ def op10_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         "op1_bit_sliced_topk": op1_bit_sliced_topk,
+        "op2_url_rules": op2_url_rules,
+        "op3_secret_scan": op3_secret_scan,
         "op5_complement_packing": op5_complement_packing,
         "op6_plane_files": op6_plane_files,
+        "op9_pivotal_mix": op9_pivotal_mix,
         "op10_int8_neighbours": op10_int8_neighbours,
     }
