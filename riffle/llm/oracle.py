@@ -31,5 +31,22 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+_OP7 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS newest FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN newest END AS refers_to
+FROM g
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_bit_sliced_topk": _OP1, "op10_int8_neighbours": _OP10}
+    return {
+        "op1_bit_sliced_topk": _OP1,
+        "op7_warc_transactions": _OP7,
+        "op10_int8_neighbours": _OP10,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import mixing, neighbours, packing, planes, secret_scan, shared, topk, url_rules
+from riffle.llm import mixing, neighbours, packing, planes, secret_scan, shared, topk, url_rules, warc, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_quality.classify(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "votes", "posterior", "score", "keep")
+
+
 def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.cut(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE)
     pieces = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -84,6 +89,12 @@ def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = shared.scratch(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), directory, least=1000)
+    return warc.facts(warc.assemble(warc.read(spark, directory, payloads=False)))
+
+
 def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -98,8 +109,10 @@ def registered() -> dict[str, Query]:
         "op1_bit_sliced_topk": op1_bit_sliced_topk,
         "op2_url_rules": op2_url_rules,
         "op3_secret_scan": op3_secret_scan,
+        "op4_weak_quality": op4_weak_quality,
         "op5_complement_packing": op5_complement_packing,
         "op6_plane_files": op6_plane_files,
+        "op7_warc_transactions": op7_warc_transactions,
         "op9_pivotal_mix": op9_pivotal_mix,
         "op10_int8_neighbours": op10_int8_neighbours,
     }
