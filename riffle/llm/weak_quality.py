@@ -48,7 +48,7 @@ def measures(seen: Words) -> dict[str, float | None]:
     capitals = sum(map(len, filter(str.isupper, seen.words)))
     return {
         "capitals": capitals / dense,
-        "marks": marks / dense,
+        "marks": marks / dense if seen.n >= 5 else None,
         "symbols": sum(map(seen.text.count, _SYMBOLS)) / seen.n,
         "decorated": len(_DECORATED.findall(seen.text)) / seen.n,
         "repeats": seen.repeats,
