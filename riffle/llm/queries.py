@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import mixing, neighbours, packing, planes, secret_scan, shared, topk, url_rules, warc, weak_quality
+from riffle.llm import mixing, neighbours, ngram_join, packing, planes, secret_scan, shared, topk, url_rules, warc, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +95,10 @@ def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.facts(warc.assemble(warc.read(spark, directory, payloads=False)))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -113,6 +117,7 @@ def registered() -> dict[str, Query]:
         "op5_complement_packing": op5_complement_packing,
         "op6_plane_files": op6_plane_files,
         "op7_warc_transactions": op7_warc_transactions,
+        "op8_ngram_join": op8_ngram_join,
         "op9_pivotal_mix": op9_pivotal_mix,
         "op10_int8_neighbours": op10_int8_neighbours,
     }
