@@ -183,18 +183,22 @@ def mix(
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` takes it. Rows equal in id, source and size are told apart by their turn."""
+    """The rows of ``docs``, each as often as ``mixed`` takes it. Rows equal in id, source and size are told apart by their turn.
+
+    Both sides are partitioned once, by one key that is never null.
+    """
+
+    def key(one, of, size):
+        parts = (F.coalesce(c.cast("string"), F.lit("-")) for c in (one, size, of))
+        return F.concat_ws(":", F.isnull(of).cast("string"), *parts)
+
     own = docs.columns
+    one, of = F.col(doc_id).cast("long"), F.col(source).cast("string")
     keyed = docs.select(
-        F.struct(*own).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"),
-        words(F.col(text)).alias("_size"), F.xxhash64(*own).alias("_hash"),
-    )
-    keys = ("_id", "_source", "_size")
-    keyed = keyed.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash")))
-    taken = mixed.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "copies")
-    turns = Window.partitionBy("t_id", "t_source", "t_size").orderBy(F.desc("copies"))
-    taken = taken.withColumn("t_turn", F.row_number().over(turns))
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip((*keys, "_turn"), ("t_id", "t_source", "t_size", "t_turn"))]
-    paired = keyed.join(taken, same).filter("copies > 0")
-    copied = paired.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return copied.select("_row.*")
+        F.struct(*own).alias("row"), key(one, of, words(F.col(text))).alias("key"), F.xxhash64(*own).alias("hash")
+    )
+    keyed = keyed.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("hash")))
+    taken = mixed.select(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("of"), "copies")
+    taken = taken.withColumn("at", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("copies"))))
+    paired = keyed.join(taken, F.expr("key = of AND turn - at = 0")).filter("copies > 0")
+    return paired.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riffle.llm import shared
@@ -357,3 +357,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     classes = reps.join(labelled, "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     joined = rows.join(classes, "key", "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, joined: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One row per component of ``joined``, that of its smallest id; of rows that share the id the one with the least hash.
+
+    Rows without an id stay, since nothing tells them apart.
+    """
+    kept = joined.filter("doc_id = component_id")
+    own = docs.columns
+    rows = docs.select(F.struct(*own).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(*own).alias("hash"))
+    ids = kept.select(F.col("doc_id").alias("kept")).distinct()
+    known = rows.filter("id IS NOT NULL").join(ids, F.col("id") == F.col("kept"), "left_semi")
+    first = known.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("hash"))).filter("turn = 1")
+    return first.select("row.*").unionByName(rows.filter("id IS NULL").select("row.*"))

@@ -159,34 +159,35 @@ def intervals(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int
 def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """The rows of ``pieces`` with ``sequence_id`` and ``offset``; sequences are filled without gaps from 0.
 
-    ``pieces`` is read three times, so it should be stored. Its columns must not be named like the two
-    new ones. Lengths are whole numbers from 1 to ``capacity``; others, and null, are an error. Rows that are equal in all
-    columns are pieces of their own. An empty table gives an empty result.
+    ``pieces`` is read three times, so it should be stored. Columns already named like the two new ones are replaced; all
+    others stay. Lengths are whole numbers from 1 to ``capacity``; others, and null, are an error. Rows that are equal in
+    all columns are pieces of their own. An empty table gives an empty result.
     """
-    spark, own = pieces.sparkSession, pieces.columns
-    sized = pieces.withColumn("_n", F.col(length).cast("int"))
-    counts = {r["_n"]: r["count"] for r in sized.groupBy("_n").count().limit(capacity + 2).collect()}
+    spark = pieces.sparkSession
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    sized = pieces.select(
+        F.struct(*own).alias("row"), F.col(length).cast("int").alias("size"), F.xxhash64(*own).alias("hash")
+    )
+    counts = {r["size"]: r["count"] for r in sized.groupBy("size").count().limit(capacity + 2).collect()}
     if any(n is None or not 1 <= n <= capacity for n in counts):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     # One row per length and group of pieces: their numbers begin where those of the groups before end.
-    shards = F.greatest(F.lit(1), F.ceil(F.col("_total") / GROUP)).cast("int")
-    totals = spark.createDataFrame(list(counts.items()), "_n int, _total long")
-    dealt = sized.withColumn("_hash", F.xxhash64(*own)).join(F.broadcast(totals), "_n")
-    dealt = dealt.withColumn("_shard", F.pmod("_hash", shards)).drop("_total")
-    sizes = dealt.groupBy("_n", "_shard").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy("_n").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("_n", "_shard", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("_n", "_shard").orderBy("_hash")
-    numbered = dealt.withColumn("_rank", F.row_number().over(inside) - 1).join(first, ["_n", "_shard"])
-    numbered = numbered.withColumn("_rank", F.col("_rank") + F.col("_first"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("total") / GROUP)).cast("int")
+    totals = spark.createDataFrame(list(counts.items()), "size int, total long")
+    dealt = sized.join(F.broadcast(totals), "size").withColumn("shard", F.pmod("hash", shards)).drop("total")
+    sizes = dealt.groupBy("size", "shard").agg(F.count("*").alias("pieces"))
+    before = Window.partitionBy("size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("size", "shard", F.coalesce(F.sum("pieces").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("size", "shard").orderBy("hash")
+    numbered = dealt.withColumn("turn", F.row_number().over(inside) - 1).join(first, ["size", "shard"])
+    numbered = numbered.withColumn("turn", F.col("turn") + F.col("first"))
     # At most a few rows per length, whatever the number of pieces.
     listed = spark.createDataFrame(
-        intervals(plan(counts, capacity)), "_n int, _from long, _to long, _per long, _sequence long, _offset long"
+        intervals(plan(counts, capacity)), "of int, from_turn long, to_turn long, per long, sequence long, place long"
     )
-    placed = numbered.join(F.broadcast(listed), (numbered["_n"] == listed["_n"]) & F.expr("_rank BETWEEN _from AND _to"))
-    turn = "(_rank - _from)"
+    placed = numbered.join(F.broadcast(listed), F.expr("size = of AND turn BETWEEN from_turn AND to_turn"))
     return placed.select(
-        *own,
-        F.expr(f"_sequence + {turn} div _per").alias("sequence_id"),
-        (F.col("_offset") + F.expr(f"{turn} % _per") * listed["_n"]).alias("offset"),
+        "row.*",
+        F.expr("sequence + (turn - from_turn) div per").alias("sequence_id"),
+        F.expr("place + (turn - from_turn) % per * size").alias("offset"),
     )

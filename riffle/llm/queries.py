@@ -39,7 +39,8 @@ def op1_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20, scale=64)
 
 
-def _ranks() -> tuple[str, str]:
+def rank_file() -> tuple[str, str]:
+    """A rank file and the pattern that goes with it."""
     import public_tokenizers
 
     return tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -58,7 +59,7 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(_table(spark, sf_dir, "documents"), *_ranks())
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), *rank_file())
     spans = F.col("secrets")
     return found.select(
         "doc_id",
@@ -73,12 +74,16 @@ def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "votes", "posterior", "score", "keep")
 
 
-def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.cut(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE)
+def packed(docs: DataFrame) -> DataFrame:
+    cut = packing.cut(docs, tokenizer_file("word_bpe_49k.json"), SEQUENCE)
     pieces = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(shared.stored(pieces, "pieces"), SEQUENCE)
 
 
+def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = shared.scratch(spark, "planes")
     docs = _table(spark, sf_dir, "documents")
