@@ -1,12 +1,62 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: documents are filtered, deduplicated, cleaned, mixed and packed.
+
+Each stage reads what its predecessor kept, from Parquet. All but the last return the columns of
+``documents``; the last returns one row per packed piece.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riffle.llm import mixing, ngram_join, queries, secret_scan, shared, weak_quality
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return weak_quality.classify(docs).filter("keep").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays."""
+    return ngram_join.keep_one(docs, ngram_join.join(docs))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    clean = secret_scan.redact(docs, *queries.rank_file())
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, up to twice."""
+    mixed = mixing.mix(docs, queries.MIX_WEIGHTS, queries.MIX_SHARE, queries.MIX_MOST)
+    return mixing.repeated(docs, shared.stored(mixed, "mixed"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    return queries.packed(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing to target weights", mix),
+    ("best-fit packing", pack),
+]
+#: Learned scores, links by similarity, random rounding and tokenizers are beyond SQL.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = shared.stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
