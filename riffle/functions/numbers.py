@@ -6,11 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n"
+#: The cast alone would also read Java's suffixes and hexadecimal numbers.
+NUMBER = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|nan|inf|infinity)$"
 
 
 def lenient_double(text: Column) -> Column:
-    """Trimmed text as a double; anything that is not a number becomes null."""
-    return F.trim(text.cast("string"), F.lit(BLANKS)).try_cast("double")
+    """Trimmed text as a double; anything that is not a decimal number becomes null."""
+    trimmed = F.trim(text.cast("string"), F.lit(BLANKS))
+    return F.when(trimmed.rlike(NUMBER), trimmed.try_cast("double"))
 
 
 def round_level(level: Column, flow_unit: Column) -> Column:

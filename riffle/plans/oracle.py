@@ -1,18 +1,18 @@
 """DuckDB SQL for the registered queries, written from the rules rather than from the Spark plans.
 
-The SQL keeps to the plain form of each rule (windows over whole series, one wide row per time),
-which is what makes it an independent check.
+The SQL keeps to the plain form of each rule (windows over whole series, one wide row per time)
+and has its own copy of the fixed values, which is what makes it an independent check.
 """
 
 from __future__ import annotations
 
-from riffle import dims
-from riffle.functions import labels
 from riffle.operators import summary
+from riffle.plans import fixed_values as fixed
 from riffle.plans import queries as q
 
-GAUGES = dims.GAUGE_IDS
-RECLAMATION = ", ".join(str(r[0]) for r in dims.GAUGE_ROWS if r[6] == "bureau_reclamation")
+GAUGES = [r[0] for r in fixed.GAUGES]
+RECLAMATION = ", ".join(str(r[0]) for r in fixed.GAUGES if r[6] == "bureau_reclamation")
+SERIES = sorted({(section, kind != "standard", kind) for section, kind, _, _ in fixed.COEFFICIENTS})
 
 
 def _lit(value) -> str:
@@ -36,30 +36,30 @@ SECTIONS = _values(
     "sections",
     "section_id, river_id, section, section_name, flow_unit, min_level, medium_level, high_level, max_level, "
     "lat, lon, american_whitewater, state, link, video",
-    dims.SECTION_ROWS,
+    fixed.SECTIONS,
 )
-RIVERS = _values("rivers", "river_id, river_name", dims.RIVER_ROWS)
+RIVERS = _values("rivers", "river_id, river_name", fixed.RIVERS)
 GAUGE_TABLE = _values(
     "gauges",
     "gauge_id, gauge_name, river_id, waterdata_usgs_identifier, bureau_reclamation_identifier, "
     "noaa_forecast_identifier, observed_api, forecast_api, lat, lon",
-    dims.GAUGE_ROWS,
+    fixed.GAUGES,
 )
-COEFFICIENTS = _values("coefficients", "section_id, flow_type, gauge_id, coef", dims.COEFFICIENT_ROWS)
+COEFFICIENTS = _values("coefficients", "section_id, flow_type, gauge_id, coef", fixed.COEFFICIENTS)
 
 LOCAL = "timezone('America/Denver', timezone('UTC', {}))"
+FORECAST = "(event_type IN ('signup', 'error') OR ts >= TIMESTAMP '2024-01-25 00:00:00')"
 RAW = f"""raw AS (
   SELECT event_id, value, ts AS utc_time, CAST(user_id // 15 AS BIGINT) AS network_id, k,
          CAST(user_id % 15 + 1 AS INTEGER) AS gauge_id,
-         CASE WHEN event_type IN ('signup', 'error') THEN 'forecast' ELSE 'observed' END AS data_type,
-         CASE WHEN event_type IN ('signup', 'error') THEN 'noaa_forecast'
+         CASE WHEN {FORECAST} THEN 'forecast' ELSE 'observed' END AS data_type,
+         CASE WHEN {FORECAST} THEN 'noaa_forecast'
               WHEN user_id % 15 + 1 IN ({RECLAMATION}) THEN 'bureau_reclamation' ELSE 'usgs' END AS source,
          date_trunc('hour', {LOCAL.format("ts")}) AS mountain_time,
          CASE WHEN k >= 5 THEN value * 40 END AS flow_cfs,
          CASE WHEN k < 95 THEN value / 15 END AS stage_ft,
          CASE WHEN k < 50 THEN '00060' ELSE '00065' END AS parameter_code
-  FROM (SELECT *, CAST(props ->> 'k' AS INTEGER) AS k FROM events)
-  WHERE event_type IN ('signup', 'error') OR ts < TIMESTAMP '2024-01-25 00:00:00')"""
+  FROM (SELECT *, CAST(props ->> 'k' AS INTEGER) AS k FROM events))"""
 
 
 def _chain(net: bool = False) -> str:
@@ -80,12 +80,13 @@ clean AS (
   QUALIFY count(source) OVER (PARTITION BY {k}gauge_id, mountain_time) = 1 OR data_type = 'observed')"""
 
 
-def _term(gauge: int) -> str:
-    return f"- g{-gauge}" if gauge < 0 else f"+ g{gauge}"
+def _formula(section: int, kind: str) -> str:
+    terms = [(gauge, sign) for s, k, gauge, sign in fixed.COEFFICIENTS if (s, k) == (section, kind)]
+    return " ".join(f"{'-' if sign < 0 else '+'} g{gauge}" for gauge, sign in terms).removeprefix("+ ")
 
 
-def _formula(s: dims.Series) -> str:
-    return " ".join(_term(t) for t in s.terms).removeprefix("+ ")
+def _column(section: int, kind: str) -> str:
+    return f"section_id_{section}" + ("" if kind == "standard" else "_max")
 
 
 def _matrix(metric: str, net: bool = False) -> str:
@@ -110,7 +111,7 @@ filled_{metric} AS (
 
 def _wide(metric: str, net: bool = False) -> str:
     k = "network_id, " if net else ""
-    cells = ", ".join(f"{_formula(s)} AS {s.column}" for s in dims.SERIES)
+    cells = ", ".join(f"{_formula(s, kind)} AS {_column(s, kind)}" for s, _, kind in SERIES)
     return f"""{_filled(metric, net)},
 wide_{metric} AS (SELECT {k}mountain_time, data_type, {cells} FROM filled_{metric})"""
 
@@ -118,8 +119,8 @@ wide_{metric} AS (SELECT {k}mountain_time, data_type, {cells} FROM filled_{metri
 def _long(metric: str, unit: str, net: bool = False) -> str:
     k = "network_id, " if net else ""
     items = ", ".join(
-        f"{{'section_id': CAST({s.section_id} AS INTEGER), 'flow_type': '{s.flow_type}', 'level': {s.column}}}"
-        for s in dims.SERIES
+        f"{{'section_id': CAST({s} AS INTEGER), 'flow_type': '{kind}', 'level': {_column(s, kind)}}}"
+        for s, _, kind in SERIES
     )
     return f"""{_wide(metric, net)},
 long_{metric} AS (
@@ -165,7 +166,7 @@ pivoted AS (
   FROM latest GROUP BY ALL)"""
 
 
-RANK = "CASE flow_range " + " ".join(f"WHEN '{c}' THEN {r}" for c, r in labels.RANKS.items()) + " END"
+RANK = "CASE flow_range " + " ".join(f"WHEN '{c}' THEN {r}" for c, r in fixed.RANKS.items()) + " END"
 
 
 def _shown(column: str) -> str:
@@ -186,7 +187,7 @@ current_levels AS (
 
 
 def _color(column: str, name: str) -> str:
-    cases = " ".join(f"WHEN '{c}' THEN '{color}'" for c, color in labels.CLASS_COLORS.items())
+    cases = " ".join(f"WHEN '{c}' THEN '{color}'" for c, color in fixed.CLASS_COLORS.items())
     return f"CASE {column} {cases} END AS {name}"
 
 
@@ -216,7 +217,7 @@ _BANDS = [
     (4, "(a + b) / 2", "b", "B"), (4, "b", "c", "G"), (4, "c", "d", "Y"), (4, "d", "d * 1.1", "R"),
     (5, "0", "a", "R"), (5, "a", "b", "B"), (5, "b", "c", "G"), (5, "c", "d", "Y"), (5, "d", "d * 1.1", "R"),
 ]
-_COLORS = {"R": labels.RED, "B": labels.BLUE, "G": labels.GREEN, "Y": labels.YELLOW}
+_COLORS = {"R": fixed.RED, "B": fixed.BLUE, "G": fixed.GREEN, "Y": fixed.YELLOW}
 
 
 def _bands(net: bool = False) -> str:
@@ -256,6 +257,7 @@ routed AS (
   SELECT *, date_trunc('minute', at_utc) AS minute_utc, k IN (7, 17) AS cut_short
   FROM landed
   WHERE landed_source = 'noaa' OR (landed_source = 'usgs') = (observed_api = 'waterdata_usgs')),
+astray AS (SELECT * FROM landed WHERE event_id NOT IN (SELECT event_id FROM routed)),
 calls AS (
   SELECT *, minute(minute_utc) = 0 AS on_hour,
          CASE WHEN NOT cut_short THEN NULL WHEN landed_source = 'bureau_rec' THEN 'unexpected header'
@@ -263,6 +265,31 @@ calls AS (
   FROM routed)"""
 
 
+def _audit(net: bool = False) -> str:
+    k, of = ("network_id, ", "e.network_id, ") if net else ("", "")
+    return f"""WITH {RAW}, {GAUGE_TABLE}, {LANDED},
+registry AS (
+  SELECT gauge_id, gauge_name,
+    CASE observed_api WHEN 'waterdata_usgs' THEN 'usgs' ELSE 'bureau_rec' END AS source,
+    'observed' AS data_type,
+    coalesce(waterdata_usgs_identifier, bureau_reclamation_identifier) AS identifier FROM gauges
+  UNION ALL
+  SELECT gauge_id, gauge_name, 'noaa', 'forecast', noaa_forecast_identifier FROM gauges),
+expected AS (SELECT * FROM registry {"CROSS JOIN (SELECT DISTINCT network_id FROM landed)" if net else ""})
+SELECT {of}e.gauge_name, e.identifier, e.source, e.data_type,
+  CASE WHEN c.event_id IS NULL THEN 'no response landed' ELSE c.error END AS error,
+  count(*) AS calls,
+  CAST(sum(CASE WHEN c.event_id IS NULL OR c.error IS NOT NULL THEN 0
+    WHEN c.landed_source = 'bureau_rec' AND NOT c.on_hour THEN 0 ELSE 1 END) AS BIGINT) AS rows
+FROM expected e LEFT JOIN calls c ON c.gauge_id = e.gauge_id AND c.landed_source = e.source
+  {"AND c.network_id = e.network_id" if net else ""}
+GROUP BY ALL
+UNION ALL
+SELECT {k}NULL, NULL, landed_source, CASE landed_source WHEN 'noaa' THEN 'forecast' ELSE 'observed' END,
+  'not registered for this source', count(*), 0
+FROM astray GROUP BY ALL"""
+
+
 def sql() -> dict[str, str]:
     chain, net = _chain(), _chain(True)
     queries = {
@@ -281,25 +308,13 @@ def sql() -> dict[str, str]:
                 WHEN 'usgs' THEN CASE WHEN parameter_code = '00065' THEN value END
                 ELSE CASE WHEN k < 50 THEN value / 15 ELSE value END END AS stage_ft
             FROM calls WHERE error IS NULL AND on_hour""",
-        "ingest_audit": f"""WITH {RAW}, {GAUGE_TABLE}, {LANDED},
-            expected AS (
-              SELECT gauge_id, gauge_name,
-                CASE observed_api WHEN 'waterdata_usgs' THEN 'usgs' ELSE 'bureau_rec' END AS source,
-                'observed' AS data_type,
-                coalesce(waterdata_usgs_identifier, bureau_reclamation_identifier) AS identifier FROM gauges
-              UNION ALL
-              SELECT gauge_id, gauge_name, 'noaa', 'forecast', noaa_forecast_identifier FROM gauges)
-            SELECT e.gauge_name, e.identifier, e.source, e.data_type,
-              CASE WHEN c.event_id IS NULL THEN 'no response landed' ELSE c.error END AS error,
-              count(*) AS calls,
-              CAST(sum(CASE WHEN c.event_id IS NULL OR c.error IS NOT NULL THEN 0
-                WHEN c.landed_source = 'bureau_rec' AND NOT c.on_hour THEN 0 ELSE 1 END) AS BIGINT) AS rows
-            FROM expected e LEFT JOIN calls c ON c.gauge_id = e.gauge_id AND c.landed_source = e.source
-            GROUP BY ALL""",
+        "ingest_audit": _audit(),
+        "ingest_audit_networks": _audit(True),
         "json_props": """SELECT event_id, CAST(props ->> 'k' AS INTEGER) AS k,
             coalesce(CAST(props ->> 'missing' AS INTEGER), CAST(0 AS INTEGER)) AS missing FROM events""",
         "lenient_cast": f"""WITH {RAW} SELECT event_id, TRY_CAST(trim(
-            CASE WHEN k >= 5 THEN '  ' || CAST(value AS VARCHAR) || ' ' ELSE 'NO RECORD' END) AS DOUBLE) AS number
+            CASE k WHEN 0 THEN 'NO RECORD' WHEN 1 THEN '1.5d' WHEN 2 THEN '2f' WHEN 3 THEN '0x1p3' WHEN 4 THEN '  '
+              WHEN 5 THEN '1e3' WHEN 6 THEN 'NaN' ELSE '  ' || CAST(value AS VARCHAR) || ' ' END) AS DOUBLE) AS number
             FROM raw""",
         "unit_normalise": f"""WITH {RAW} SELECT event_id,
             CASE WHEN k < 40 THEN value ELSE value / 15 END * 1000 AS flow_cfs,
@@ -351,6 +366,7 @@ def sql() -> dict[str, str]:
               lat, lon, state, CAST(sum(coalesce(n, 0)) AS BIGINT) AS readings
             FROM sections JOIN rivers USING (river_id) JOIN coefficients USING (section_id)
             LEFT JOIN per_gauge USING (gauge_id) GROUP BY ALL""",
+        "section_names": f"WITH {_latest()} SELECT DISTINCT section_name FROM latest",
         "section_lookup": f"""WITH {_latest()} SELECT section_id, section_name, american_whitewater, lat, lon,
             flow_type, river_level FROM latest JOIN sections USING (section_name)
             WHERE section_name = {_lit(q.RECORD_OF)}""",

@@ -86,7 +86,7 @@ def source_cap(spark, sf_dir):
 # Ingest, over responses that Spark renders from the events: one response per event
 
 
-def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _landed(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:
     """Responses as they would land. Some land at a source their gauge is not registered for
     (k below 10) and some are cut short (k equal to 7 or 17)."""
     local = times.to_local(F.col("utc_time"))
@@ -116,6 +116,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(source == "noaa", forecast).when(source == "usgs", observed).otherwise(csv)
     cut_short = F.col("k").isin(7, 17)
     return _raw(spark, sf_dir).select(
+        *keys,
         source.alias("source"),
         "gauge_id",
         F.col("event_id").cast("string").alias("call_id"),
@@ -123,8 +124,8 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.parse_calls(_landed(spark, sf_dir), pipeline.gauge_dim(spark))
+def _calls(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:
+    return ingest.parse_calls(_landed(spark, sf_dir, keys), pipeline.gauge_dim(spark), keys)
 
 
 @_query
@@ -133,16 +134,24 @@ def source_route(spark, sf_dir):
     return rows.select("gauge_id", "gauge_name", "source", "data_type", "mountain_time", "flow_cfs", "stage_ft")
 
 
-@_query
-def ingest_audit(spark, sf_dir):
-    calls = _calls(spark, sf_dir)
-    rows = ingest.audit_of(calls, pipeline.gauge_dim(spark))
+def _audit(spark: SparkSession, sf_dir: str, keys=()) -> DataFrame:
+    rows = ingest.audit_of(_calls(spark, sf_dir, keys), pipeline.gauge_dim(spark), keys)
     # Responses are one per event here, so the audit is shown per gauge and outcome.
-    return rows.groupBy("gauge_name", "identifier", "source", "data_type", "error").agg(
+    return rows.groupBy(*keys, "gauge_name", "identifier", "source", "data_type", "error").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("rows").alias("rows")
     )
 
 
+@_query
+def ingest_audit(spark, sf_dir):
+    return _audit(spark, sf_dir)
+
+
+@_query
+def ingest_audit_networks(spark, sf_dir):
+    return _audit(spark, sf_dir, events.NETWORK_KEYS)
+
+
 @_query
 def json_props(spark, sf_dir):
     doc = F.from_json("props", "k INT, missing INT")
@@ -154,7 +163,8 @@ def json_props(spark, sf_dir):
 @_query
 def lenient_cast(spark, sf_dir):
     padded = F.concat(F.lit("  "), F.col("value").cast("string"), F.lit(" "))
-    text = F.when(F.col("k") >= 5, padded).otherwise(F.lit("NO RECORD"))
+    odd = F.expr("try_element_at(array('NO RECORD', '1.5d', '2f', '0x1p3', '  ', '1e3', 'NaN'), k + 1)")
+    text = F.coalesce(odd, padded)
     return _raw(spark, sf_dir).select("event_id", numbers.lenient_double(text).alias("number"))
 
 
@@ -322,6 +332,11 @@ def dim_sections(spark, sf_dir):
     )
 
 
+@_query
+def section_names(spark, sf_dir):
+    return selection.section_names(_snapshot(spark, sf_dir))
+
+
 @_query
 def section_lookup(spark, sf_dir):
     """One section's record, beside its current levels."""

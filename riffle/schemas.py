@@ -57,9 +57,34 @@ READINGS = _struct(
 )
 
 AUDIT = _struct(
-    "gauge_name string, identifier string, source string, data_type string, rows bigint, "
+    "call_id string, gauge_name string, identifier string, source string, data_type string, rows bigint, "
     "error string, run_time timestamp_ntz"
 )
 
+READING = _struct("utc_time timestamp_ntz, mountain_time timestamp_ntz, flow_cfs double, stage_ft double")
+
+# One parsed response, with its readings.
+CALLS = T.StructType(
+    [
+        *_struct(
+            "call_id string, gauge_id int, gauge_name string, identifier string, source string, data_source string, "
+            "data_type string, rows bigint, error string"
+        ).fields,
+        T.StructField("readings", T.ArrayType(READING)),
+        T.StructField("run_time", T.TimestampNTZType()),
+    ]
+)
+
+RUNS = _struct("run_id string, run_time timestamp_ntz")
+
+# What tells many networks of gauges apart; a key column leads any of the tables above.
+NETWORK = _struct("network_id bigint")
+NO_KEYS = T.StructType([])
+
+
+def keyed(schema: T.StructType, keys: T.StructType) -> T.StructType:
+    return T.StructType([*keys.fields, *schema.fields])
+
+
 # One landed response of one source call.
 PAYLOADS = _struct("source string, gauge_id int, call_id string, payload string")

@@ -1,7 +1,8 @@
 """Gauge readings bound to the ``events`` test table.
 
 ``user_id`` names the gauge (and, for many networks, the network), ``event_type`` and time the
-data type, ``value`` and ``props.k`` the two metrics. Several events may fall into one gauge hour,
+data type (whatever lies after the last observation is a forecast), ``value`` and ``props.k`` the two
+metrics. Every event becomes a reading. Several events may fall into one gauge hour,
 so ``event_id`` serves as the version that decides between them.
 """
 
@@ -38,13 +39,13 @@ def _k() -> str:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every usable event as one reading; nothing is deduplicated here.
+    """Every event as one reading; nothing is deduplicated here.
 
     The local time is only computed where a query uses it.
     """
-    forecast = f"event_type IN ({', '.join(repr(t) for t in FORECAST_TYPES)})"
-    usable = read_events(spark, sf_dir).filter(f"{forecast} OR ts < TIMESTAMP_NTZ'{OBSERVED_END}'")
-    bound = usable.selectExpr(
+    types = ", ".join(repr(t) for t in FORECAST_TYPES)
+    forecast = f"event_type IN ({types}) OR ts >= TIMESTAMP_NTZ'{OBSERVED_END}'"
+    bound = read_events(spark, sf_dir).selectExpr(
         "event_id",
         f"user_id div {GAUGE_COUNT} AS network_id",
         f"int(user_id % {GAUGE_COUNT} + 1) AS gauge_id",

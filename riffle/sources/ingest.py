@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,24 +13,29 @@ from riffle.operators.selection import stamp_run
 from riffle.sources import parsers
 
 
+NOT_REGISTERED = "not registered for this source"
+
+
 def parse_calls(payloads: DataFrame, gauges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per landed call that its gauge's registry entry asks for.
+    """One row per landed call, parsed by the source it came from, in one pass over the payloads.
 
-    The registry routes each gauge to one observed source and the forecast source; responses of
-    other sources for that gauge are not read.
+    The registry routes each gauge to one observed source and the forecast source. A response that
+    the registry does not ask for is not read; its error says so.
     """
     wanted = expected_calls(gauges).filter("known").select("gauge_id", "gauge_name", "identifier", "source")
-    routed = payloads.join(wanted, ["gauge_id", "source"])
+    routed = payloads.join(wanted, ["gauge_id", "source"], "left")
+    parsed = parsers.parse_all(routed.withColumn("registered", F.col("gauge_name").isNotNull()))
+    missing = F.when(~F.col("registered"), F.lit(NOT_REGISTERED))
     columns = [*keys, "call_id", "gauge_id", "gauge_name", "identifier", "source", "data_source", "data_type"]
-    columns += ["rows", "error", "readings"]
-    parsed = [parsers.parse_source(routed, source).select(*columns) for source in parsers.LANDED]
-    return reduce(DataFrame.unionByName, parsed)
+    return parsed.withColumn("error", F.coalesce(missing, "error")).select(*columns, "rows", "error", "readings")
 
 
 def readings_of(calls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Hourly readings of all calls; ``utc_time`` is null where the source reports local time."""
+    stamp = [c for c in ("run_time",) if c in calls.columns]
     rows = calls.select(
         *keys,
+        *stamp,
         "gauge_name",
         "gauge_id",
         F.col("data_source").alias("source"),
@@ -45,17 +49,27 @@ def readings_of(calls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return rows.withColumn("utc_time", F.coalesce("utc_time", "mountain_time"))
 
 
-def audit_of(calls: DataFrame, gauges: DataFrame) -> DataFrame:
-    """One audit row per call, and one for every expected call that never landed."""
-    columns = ["gauge_name", "identifier", "source", "data_type", "rows", "error"]
-    landed = calls.select(*columns)
-    arrived = calls.select("gauge_id", "source").distinct()
-    missing = expected_calls(gauges).join(arrived, ["gauge_id", "source"], "left_anti")
+def audit_of(calls: DataFrame, gauges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One audit row per call, and one for every expected call that never landed.
+
+    With keys, calls are expected of every network of which anything landed.
+    """
+    columns = [*keys, "call_id", "gauge_name", "identifier", "source", "data_type", "rows", "error"]
+    registry = expected_calls(gauges)
+    expected = registry
+    if keys:
+        # The registry as one value, at most two calls per gauge, set out for each network.
+        fields = F.collect_list(F.struct(*registry.columns))
+        expected = calls.select(*keys).distinct().select(*keys, F.inline(registry.agg(fields).scalar()))
+    arrived = calls.select(*keys, "gauge_id", "source").distinct()
+    missing = expected.join(arrived, [*keys, "gauge_id", "source"], "left_anti")
     reason = F.when(F.col("known"), F.lit("no response landed")).otherwise(
         F.concat(F.lit("unknown observed source: "), F.col("source"))
     )
-    absent = missing.withColumns({"rows": F.lit(0).cast("bigint"), "error": reason})
-    return landed.unionByName(absent.select(*columns))
+    absent = missing.withColumns(
+        {"call_id": F.lit(None).cast("string"), "rows": F.lit(0).cast("bigint"), "error": reason}
+    )
+    return calls.select(*columns).unionByName(absent.select(*columns))
 
 
 def read_all(
@@ -66,4 +80,4 @@ def read_all(
     Without any landed response the readings are empty, with their schema.
     """
     calls = parse_calls(payloads, gauges, keys)
-    return stamp_run(readings_of(calls, keys), run_time), stamp_run(audit_of(calls, gauges), run_time)
+    return stamp_run(readings_of(calls, keys), run_time), stamp_run(audit_of(calls, gauges, keys), run_time)

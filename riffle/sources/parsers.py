@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riffle.functions import numbers, times
+from riffle.functions import labels, numbers, times
 
 # The payload fields that are read, the unit that marks the flow field, the flow
 # factor (which applies whatever the unit), parameter codes and CSV headers.
@@ -198,11 +198,29 @@ def csv_calls(payloads: DataFrame) -> DataFrame:
 PARSERS = {"usgs": observed_calls, "bureau_rec": csv_calls, "noaa": forecast_calls}
 
 
-def parse_source(payloads: DataFrame, source: str) -> DataFrame:
-    """Calls of one landed source; the filter prunes its partition.
+def parse_all(payloads: DataFrame) -> DataFrame:
+    """Calls of all sources in one pass: each parser sees the payloads of its own source, and null elsewhere.
 
-    ``payloads`` carries ``identifier``, the name the gauge has at that source.
+    ``payloads`` carries ``identifier``, the name the gauge has at that source, and ``registered``; what
+    is not registered is not parsed. A source that has no parser has no readings and null for its data source.
     """
-    data_source, data_type = LANDED[source]
-    calls = PARSERS[source](payloads.filter(F.col("source") == source))
-    return calls.withColumns({"data_source": F.lit(data_source), "data_type": F.lit(data_type)}).drop("payload")
+    parsed = payloads.withColumnRenamed("payload", "body")
+    chosen = {name: None for name in ("rows", "error", "readings")}
+    for source, parser in PARSERS.items():
+        own = F.col("registered") & (F.col("source") == source)
+        parsed = parser(parsed.withColumn("payload", F.when(own, F.col("body"))))
+        for name in chosen:
+            parsed = parsed.withColumnRenamed(name, f"{source}_{name}")
+            earlier = chosen[name]
+            value = F.when(own, F.col(f"{source}_{name}"))
+            chosen[name] = value if earlier is None else F.coalesce(earlier, value)
+    nothing = F.slice(F.col(f"{next(iter(PARSERS))}_readings"), 1, 0)
+    kinds = zip(("data_source", "data_type"), zip(*LANDED.values()))
+    return parsed.withColumns(
+        {
+            "rows": F.coalesce(chosen["rows"], F.lit(0).cast("bigint")),
+            "error": chosen["error"],
+            "readings": F.coalesce(chosen["readings"], nothing),
+            **{name: labels.lookup(F.col("source"), dict(zip(LANDED, values))) for name, values in kinds},
+        }
+    ).drop("payload", "body", *[f"{source}_{name}" for source in PARSERS for name in chosen])

@@ -1,8 +1,8 @@
-"""Stored refreshes: readings and audit in parquet, reused while they are fresh.
+"""Stored refreshes: parsed calls in parquet, reused while they are fresh.
 
-Every refresh is a new ``run_id`` partition, so nothing is overwritten while it may be read. The
-audit is written after the readings and thereby commits the run: a refresh that dies in between
-leaves readings that no reader selects.
+Every refresh is a new ``run_id`` partition of calls, so nothing is overwritten while it may be read,
+and parsing happens once. A row in the small run table commits it: a refresh that dies in between
+leaves calls that no reader selects. Readings and audit are views of the calls of a window of runs.
 """
 
 from __future__ import annotations
@@ -12,16 +12,19 @@ from datetime import datetime, timedelta
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riffle import schemas
+from riffle.functions import times
+from riffle.operators.selection import stamp_run
+from riffle.sources import ingest
 
 # Fixed value: how old a stored refresh may be.
 MAX_AGE_MINUTES = 60
 
-Refresh = Callable[[], tuple[DataFrame, DataFrame]]
+Refresh = Callable[[], DataFrame]
 
 
 class Run(NamedTuple):
@@ -33,51 +36,91 @@ def run_id_of(run_time: datetime) -> str:
     return run_time.strftime("%Y%m%dT%H%M%S%f")
 
 
-def write_run(readings: DataFrame, audit: DataFrame, path: str, run_id: str) -> None:
-    """Store one refresh under its own partition; writing the same run again replaces it."""
-    for name, df in (("readings", readings), ("audit", audit)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
+def write_run(
+    calls: DataFrame, path: str, run_id: str, run_time: datetime, keys: T.StructType = schemas.NO_KEYS
+) -> None:
+    """Store one refresh under its own partition; writing the same run again replaces it.
 
-
-def _read(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
-    with_run = T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
-    return spark.read.schema(with_run).parquet(f"{path}/{name}")
-
-
-def latest_run(spark: SparkSession, path: str) -> Run | None:
-    """Newest committed refresh; None when there is none."""
+    A column that the stored schema does not hold would be lost to readers, so it is refused.
+    """
+    schema = schemas.keyed(schemas.CALLS, keys)
+    stamped = stamp_run(calls, run_time)
+    if set(stamped.columns) != set(schema.names):
+        raise ValueError(f"calls must have the columns {schema.names}, not {stamped.columns}")
+    stamped.select(schema.names).write.mode("overwrite").parquet(f"{path}/calls/run_id={run_id}")
+    spark = calls.sparkSession
+    run = spark.range(1).select(times.ntz(run_time).alias("run_time"))
+    run.coalesce(1).write.mode("overwrite").parquet(f"{path}/runs/run_id={run_id}")
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """``run_id, run_time`` of all committed refreshes; None when there is none."""
     try:
-        audit = _read(spark, path, "audit", schemas.AUDIT)
+        return spark.read.schema(schemas.RUNS).parquet(f"{path}/runs")
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    # The audit has two rows per gauge and run, and the answer is a single row.
-    newest = audit.agg(F.max_by("run_id", "run_time").alias("run_id"), F.max("run_time").alias("run_time")).first()
-    return Run(newest["run_id"], newest["run_time"]) if newest["run_time"] is not None else None
 
 
-def read_run(spark: SparkSession, path: str, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """Readings and audit of one stored refresh; only its partition is read."""
-    tables = (_read(spark, path, "readings", schemas.READINGS), _read(spark, path, "audit", schemas.AUDIT))
-    readings, audit = (t.filter(F.col("run_id") == run_id).drop("run_id") for t in tables)
-    return readings, audit
+def latest_run(spark: SparkSession, path: str) -> Run | None:
+    """Newest committed refresh; None when there is none."""
+    stored = runs(spark, path)
+    if stored is None:
+        return None
+    newest = stored.agg(F.max_by("run_id", F.struct("run_time", "run_id")).alias("run_id"), F.max("run_time").alias("at")).first()
+    return Run(newest["run_id"], newest["at"]) if newest["at"] is not None else None
+
+
+def read_calls(
+    spark: SparkSession, path: str, since: datetime | None = None, until: datetime | None = None, keys=schemas.NO_KEYS
+) -> DataFrame:
+    """Calls of the committed runs of a window, both ends included; of a call stored twice the newer one."""
+    chosen, schema = runs(spark, path), schemas.keyed(schemas.CALLS, keys)
+    if chosen is None:
+        return spark.createDataFrame([], schema)
+    if since is not None:
+        chosen = chosen.filter(F.col("run_time") >= times.ntz(since))
+    if until is not None:
+        chosen = chosen.filter(F.col("run_time") <= times.ntz(until))
+    with_run = T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
+    stored = spark.read.schema(with_run).parquet(f"{path}/calls").join(chosen.select("run_id"), "run_id", "left_semi")
+    newest = Window.partitionBy(*keys.names, "source", "gauge_id", "call_id").orderBy(F.desc("run_time"), F.desc("run_id"))
+    return stored.withColumn("turn", F.row_number().over(newest)).filter("turn = 1").drop("turn", "run_id")
+
+
+def read_window(
+    spark: SparkSession,
+    path: str,
+    gauges: DataFrame,
+    since: datetime | None = None,
+    until: datetime | None = None,
+    keys: T.StructType = schemas.NO_KEYS,
+) -> tuple[DataFrame, DataFrame]:
+    """Readings and audit of all runs of a window; without ends, of the whole history.
+
+    A response is absent only if no run of the window has it.
+    """
+    calls = read_calls(spark, path, since, until, keys)
+    audit = ingest.audit_of(calls, gauges, keys.names)
+    return ingest.readings_of(calls, keys.names), audit
 
 
 def load_or_refresh(
     spark: SparkSession,
     path: str,
     as_of: datetime,
+    gauges: DataFrame,
     refresh: Refresh,
     max_age_minutes: int = MAX_AGE_MINUTES,
+    keys: T.StructType = schemas.NO_KEYS,
 ) -> tuple[DataFrame, DataFrame]:
     """The newest stored refresh if it is fresh at ``as_of``, else a new one, stored and read back.
 
-    ``refresh`` returns readings and audit stamped with ``as_of``.
+    ``refresh`` returns parsed calls.
     """
     stored = latest_run(spark, path)
     if stored is None or as_of - stored.run_time > timedelta(minutes=max_age_minutes):
-        readings, audit = refresh()
-        write_run(readings, audit, path, run_id_of(as_of))
-        return read_run(spark, path, run_id_of(as_of))
-    return read_run(spark, path, stored.run_id)
+        write_run(refresh(), path, run_id_of(as_of), as_of, keys)
+        return read_window(spark, path, gauges, as_of, as_of, keys)
+    return read_window(spark, path, gauges, stored.run_time, stored.run_time, keys)

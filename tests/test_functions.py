@@ -76,8 +76,9 @@ def test_times_do_not_depend_on_the_session_zone(spark, zone):
 
 
 def test_lenient_double(spark):
-    texts = [" 1234.50 ", "NO RECORD", "", "3.1\r", "1,234", None]
-    assert each(spark, numbers.lenient_double, texts, "string") == [1234.5, None, None, 3.1, None, None]
+    texts = [" 1234.50 ", "NO RECORD", "", "3.1\r", "1,234", None, "1.5d", "2f", "0x1p3", "1e3", "-.5", "7.", "Infinity", "1e", "."]
+    want = [1234.5, None, None, 3.1, None, None, None, None, None, 1000.0, -0.5, 7.0, float("inf"), None, None]
+    assert each(spark, numbers.lenient_double, texts, "string") == want
 
 
 def test_display_level(spark):

@@ -107,8 +107,21 @@ def test_a_malformed_record_fails_its_call_only(spark):
 
 
 def test_routing_follows_the_registry(spark):
-    # Gauge 13 is not a usgs gauge, and gauge 2 is no reclamation gauge.
-    assert readings(spark, [("usgs", 13, OBSERVED), ("bureau_rec", 2, CSV)]) == []
+    # Gauge 13 is not a usgs gauge, gauge 2 is no reclamation gauge, and there is no gauge 99.
+    rows = [("usgs", 13, OBSERVED), ("bureau_rec", 2, CSV), ("noaa", 99, FORECAST_KCFS), ("other", 2, "x")]
+    assert readings(spark, rows) == []
+    calls = ingest.parse_calls(land(spark, rows), dims.gauges(spark))
+    table = ingest.audit_of(calls, dims.gauges(spark)).filter("call_id IS NOT NULL").collect()
+    assert sorted((r.call_id, r.source, r.rows, r.error) for r in table) == [
+        (f"call-{i}", source, 0, ingest.NOT_REGISTERED) for i, (source, *_) in enumerate(rows)
+    ]
+
+
+def test_payloads_are_scanned_once(spark, tmp_path):
+    land(spark, [("usgs", 2, OBSERVED)]).write.parquet(str(tmp_path / "payloads"))
+    calls = ingest.parse_calls(payloads.read_payload_table(spark, str(tmp_path / "payloads")), dims.gauges(spark))
+    plan = ingest.readings_of(calls)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
 
 
 def test_unknown_observed_source_keeps_the_forecast(spark):
@@ -161,9 +174,9 @@ def test_stored_refresh_is_reused_for_an_hour(spark, landing, tmp_path):
     def refresh_at(as_of):
         def run():
             made.append(as_of)
-            return ingest.read_all(payloads.read_landing(spark, landing), dims.gauges(spark), as_of)
+            return ingest.parse_calls(payloads.read_landing(spark, landing), dims.gauges(spark))
 
-        return sink.load_or_refresh(spark, path, as_of, run)
+        return sink.load_or_refresh(spark, path, as_of, dims.gauges(spark), run)
 
     first = refresh_at(RUN)
     assert (first[0].count(), first[1].count()) == (4, 30)
@@ -177,10 +190,16 @@ def test_stored_refresh_is_reused_for_an_hour(spark, landing, tmp_path):
 
 def test_landed_files_to_current_levels(spark, landing, tmp_path):
     def refresh_now():
-        return ingest.read_all(payloads.read_landing(spark, landing), dims.gauges(spark), RUN)
+        return ingest.parse_calls(payloads.read_landing(spark, landing), dims.gauges(spark))
 
-    readings_table, audit_table = sink.load_or_refresh(spark, str(tmp_path / "store"), RUN, refresh_now)
+    store = str(tmp_path / "store")
+    readings_table, audit_table = sink.load_or_refresh(spark, store, RUN, dims.gauges(spark), refresh_now)
     result = pipeline.run(readings_table, audit_table, on_duplicate="latest")
+    stored = pipeline.run_stored(spark, store, str(tmp_path / "clean"))
+    for one, other in zip(result, stored):
+        assert sorted(map(str, one.select(sorted(one.columns)).collect())) == sorted(
+            map(str, other.select(sorted(other.columns)).collect())
+        )
     # The latest observation is at 11:00 on gauge 13, so only the forecast for 14:00 counts.
     rows = result.clean.select("gauge_id", "gauge_name", "data_type", "mountain_time", "run_time").collect()
     assert {(r.gauge_id, r.data_type, r.mountain_time.hour) for r in rows} == {
@@ -196,12 +215,50 @@ def test_landed_files_to_current_levels(spark, landing, tmp_path):
     assert (current["The Cabarton"].river_level, current["The Cabarton"].river_level_max) == ("1,235", "0")
 
 
-def test_streaming_refresh_stores_landed_calls_once(spark, landing, tmp_path):
-    path = str(tmp_path / "store")
-    for _ in range(2):
-        query = refresh.start_refresh(spark, landing, dims.gauges(spark), path, str(tmp_path / "cp"), once=True)
+def flat(df, drop=("run_time",)):
+    return sorted(map(str, df.select(sorted(set(df.columns) - set(drop))).collect()))
+
+
+def test_streaming_refresh_equals_the_batch_however_it_is_split(spark, landing, tmp_path):
+    path, gauges = str(tmp_path / "store"), dims.gauges(spark)
+
+    def stream(checkpoint):
+        query = refresh.start_refresh(spark, landing, gauges, path, str(tmp_path / checkpoint), once=True, max_files=1)
         query.awaitTermination(120)
-    run = sink.latest_run(spark, path)
-    assert run.run_id == "batch-0000000000"
-    readings_table, audit_table = sink.read_run(spark, path, run.run_id)
-    assert (readings_table.count(), audit_table.filter("error is null").count()) == (4, 3)
+
+    for _ in range(2):
+        stream("cp")
+    assert sink.runs(spark, path).count() == 3
+    table, audit = ingest.read_all(payloads.read_landing(spark, landing), gauges, RUN)
+    for _ in range(2):
+        stored = sink.read_window(spark, path, gauges)
+        assert (flat(stored[0]), flat(stored[1])) == (flat(table), flat(audit))
+        # A new checkpoint reads all files again: it neither replaces stored runs nor doubles their calls.
+        stream("another")
+    assert sink.runs(spark, path).count() == 6
+
+
+def test_networks_keep_apart_from_landing_to_current_levels(spark, tmp_path):
+    late = OBSERVED.replace("T12", "T18")
+    networks = {1: [("usgs", 2, OBSERVED), ("noaa", 2, FORECAST_KCFS.replace("T12", "T15"))], 2: [("usgs", 2, late), ("noaa", 2, FORECAST_KCFS.replace("T12", "T15"))]}
+    gauges, keys = dims.gauges(spark), schemas.NETWORK
+    for network, rows in networks.items():
+        for source, gauge, text in rows:
+            folder = tmp_path / "landing" / f"network_id={network}" / f"source={source}" / f"gauge_id={gauge}"
+            folder.mkdir(parents=True)
+            (folder / "a.json").write_text(text)
+    calls = ingest.parse_calls(payloads.read_landing(spark, str(tmp_path / "landing"), keys), gauges, keys.names)
+    path = str(tmp_path / "store")
+    sink.write_run(calls, path, "one", RUN, keys)
+    with pytest.raises(ValueError):
+        sink.write_run(calls, path, "two", RUN)
+    result = pipeline.run_stored(spark, path, str(tmp_path / "clean"), keys=keys)
+    assert sorted(map(tuple, result.audit.groupBy("network_id").count().collect())) == [(1, 30), (2, 30)]
+    for network, rows in networks.items():
+        table, _ = ingest.read_all(land(spark, rows), gauges, RUN)
+        alone = pipeline.run(table, on_duplicate="latest")
+        mine = result.current.filter(F.col("network_id") == network).drop("network_id")
+        assert flat(mine) == flat(alone.current)
+        assert flat(result.ranges.filter(F.col("network_id") == network).drop("network_id")) == flat(alone.ranges)
+    # The forecast of 15:00 is past the last observation of the first network only.
+    assert sorted((r.network_id, r.data_type) for r in result.clean.collect()) == [(1, "forecast"), (1, "observed"), (2, "observed")]

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from test_clean import random_rows
 
 from riffle import dims
+from riffle.functions import labels
 from riffle.operators import bands, classify, clean, levels, summary
+from riffle.plans import fixed_values as fixed
 from riffle.plans import pipeline
 
 
@@ -20,6 +22,9 @@ def column(df, name, *keys):
 def test_dims(spark):
     assert (dims.rivers(spark).count(), dims.gauges(spark).count(), dims.sections(spark).count()) == (14, 15, 27)
     assert (len(dims.SERIES), len(dims.COEFFICIENT_ROWS)) == (30, 37)
+    assert dims.RIVER_ROWS == fixed.RIVERS and dims.GAUGE_ROWS == fixed.GAUGES and dims.SECTION_ROWS == fixed.SECTIONS
+    assert sorted(dims.COEFFICIENT_ROWS) == sorted(fixed.COEFFICIENTS)
+    assert (labels.RANKS, labels.CLASS_COLORS) == (fixed.RANKS, fixed.CLASS_COLORS)
     first = dims.sections(spark).filter("section_id = 1").first()
     assert first.link is None and first.video is None and first.high_level == 8000.0
     assert len(dims.sections(spark).filter("section_id = 10").first().video) == 6

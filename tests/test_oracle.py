@@ -6,9 +6,11 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry_points
+from riffle.plans import oracle
+from riffle.plans import queries as catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = catalogue.registered(), oracle.sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
@@ -20,6 +22,14 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
+
+
+def test_no_event_is_lost(spark):
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet").count()
+    for name in ("lenient_cast", "stamp_run", "parse_times", "unit_normalise"):
+        assert QUERIES[name](spark, SF_DIR).count() == events
+    assert sum(r["rows"] for r in QUERIES["audit_rows"](spark, SF_DIR).collect()) == events
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -5,6 +5,7 @@ from datetime import datetime
 from riffle import dims
 from riffle.functions import times
 from riffle.operators import selection
+from riffle.plans import fixed_values as fixed
 
 
 def test_section_names_and_lookup(spark):
@@ -18,11 +19,8 @@ def test_section_names_and_lookup(spark):
 def test_links_and_videos(spark):
     rows = selection.section_links(dims.sections(spark)).collect()
     by_kind = {kind: sum(r.kind == kind for r in rows) for kind in ("link", "video")}
-    assert by_kind == {
-        "link": sum(len(v) for v in dims.LINKS.values()),
-        "video": sum(len(v) for v in dims.VIDEOS.values()),
-    }
-    assert {r.section_id for r in rows} == set(dims.LINKS) | set(dims.VIDEOS)
+    assert by_kind == {kind: sum(len(s[i] or ()) for s in fixed.SECTIONS) for kind, i in (("link", 13), ("video", 14))}
+    assert {r.section_id for r in rows} == {s[0] for s in fixed.SECTIONS if s[13] or s[14]}
 
 
 def test_freshness_counts_seconds(spark):
