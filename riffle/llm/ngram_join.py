@@ -27,41 +27,77 @@ from riffle.llm import shared
 WORDS = 5
 #: Similar from I / U = 80 / 100 on, kept as whole numbers.
 PARTS, WHOLE = 80, 100
-#: N-grams of a block of documents, and of a range of the hash space.
-BLOCK, RANGE = 1_500_000, 3_000_000
+#: N-grams of a block of documents, and of a range of the hash space; a task holds one at a time.
+BLOCK, RANGE = 600_000, 1_000_000
 _SHORT = 40
 _CLASSES = 8
-_REMEMBERED = 400_000
 _TAIL = [f"c{i}" for i in range(_CLASSES)]
 _SETS = "doc_id long, n int, alone int, grams binary"
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
-_FACTORS = [np.uint64(int(xxhash.xxh3_64_intdigest(bytes([i]))) | 1) for i in range(WORDS)]
+_CHUNK = 2**20
+_rng = np.random.default_rng(20)
+#: A random number per byte, the same for both cases of a letter.
+_BYTES = _rng.integers(0, 2**64, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_FACTORS = _rng.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_powers = {}
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2 to the 64."""
+    if len(_powers.get(base, ())) < n:
+        row = np.full(max(n, _CHUNK), base, np.uint64)
+        row[0] = 1
+        _powers[base] = np.multiply.accumulate(row)
+    return _powers[base][:n]
+
+
+def _mix(values: np.ndarray) -> np.ndarray:
+    values ^= values >> np.uint64(32)
+    values *= np.uint64(0xD6E8FEB86659FD93)
+    values ^= values >> np.uint64(32)
+    return values
+
+
+def _word_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash per word: the polynomial of its bytes, from differences of running sums."""
+    inside = ~_IS_SPACE[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTES[data] * _power(_BASE, len(data)), out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts])
+
+
+def _hashed(text: bytes) -> np.ndarray:
+    """Hashes of a text's words, long texts chunk by chunk; a chunk ends where a word does."""
+    data, parts, at = np.frombuffer(text, np.uint8), [], 0
+    while len(data) - at > _CHUNK:
+        end = at + _CHUNK
+        while end < len(data) and not _IS_SPACE[data[end]]:
+            end += 1
+        parts.append(_word_hashes(data[at:end]))
+        at = end
+    parts.append(_word_hashes(data[at:]))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
 def grams(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's n-grams; of a shorter text that of the whole sequence."""
-    words = text.lower().split()
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], np.uint64)
-    if len(_hashes) > _REMEMBERED:
-        _hashes.clear()
-    each = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    words = _hashed(text)
     n = len(words) - WORDS + 1
+    if n < 1:
+        # A sequence shorter than an n-gram has its own kind of hash.
+        return _mix((words * _FACTORS[: len(words)]).sum(keepdims=True) ^ _FACTORS[-len(words)]) if len(words) else words
     total = np.zeros(n, np.uint64)
     for i, factor in enumerate(_FACTORS):
-        total += each[i : i + n] * factor
-    total ^= total >> np.uint64(32)
-    total *= np.uint64(0xD6E8FEB86659FD93)
-    total ^= total >> np.uint64(32)
-    return np.unique(total)
+        total += words[i : i + n] * factor
+    return np.unique(_mix(total))
 
 
 def prefix(n: int) -> int:
@@ -74,7 +110,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [grams(text) for text in batch["body"].to_pylist()]
+            sets = [grams(text) for text in map(pa.Scalar.as_py, batch["body"])]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             counts = pa.array(map(len, sets), pa.int32())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], counts, pa.array(keys, pa.binary())], ["doc_id", "n", "key"])
@@ -84,12 +120,15 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def _block_sets(texts: pa.Table, wanted: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Sets of the documents that stand for a class, repeated rows once."""
-    found, ids = {}, set(wanted.tolist())
+    found, seen, ids = [], set(), set(wanted.tolist())
     for doc_id, body in zip(texts["doc_id"].to_pylist(), texts["body"]):
         if doc_id in ids:
             own = grams(body.as_py())
-            found[doc_id, own.tobytes()] = own
-    return [(doc_id, own) for (doc_id, _), own in found.items() if len(own)]
+            key = doc_id, xxhash.xxh3_128_digest(own.tobytes())
+            if len(own) and key not in seen:
+                seen.add(key)
+                found.append((doc_id, own))
+    return found
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
@@ -146,18 +185,19 @@ def _frequencies(part: pa.Table) -> pa.Table:
 def _ordered(texts: pa.Table, side: pa.Table) -> pa.Table:
     """Documents that may have a partner, with the n-grams that others share, rarest first."""
     ids = side["rep_id"].drop_null().to_numpy()
-    rows = []
+    rows, sets = [], []
     if texts.num_rows and len(ids):
         sets = _block_sets(texts, ids)
+    if sets:
         replies = side.filter(pa.compute.is_valid(side["range"])).sort_by("range")
         codes = np.frombuffer(b"".join(replies["codes"].to_pylist()), np.uint8)
-        values = np.unique(np.concatenate([_short(s) for _, s in sets])) if sets else np.zeros(0, np.uint64)
+        values, place = np.unique(np.concatenate([_short(own) for _, own in sets]), return_inverse=True)
         if len(values) != len(codes):
             raise ValueError("frequencies do not belong to this block")
-        for doc_id, own in sets:
-            code = codes[np.searchsorted(values, _short(own))]
+        each = np.split(codes[place], np.cumsum([len(own) for _, own in sets])[:-1])
+        for (doc_id, own), code in zip(sets, each):
             held = code > 0
-            alone = len(own) - int(held.sum())
+            alone = len(own) - int(np.count_nonzero(held))
             if alone < prefix(len(own)):
                 shared_grams = own[held]
                 order = np.lexsort((shared_grams, code[held]))
