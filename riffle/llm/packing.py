@@ -41,8 +41,8 @@ def cut(
         encode, end, step = token_ids.encoder(tokenizer), struct.pack("<I", end_id), 4 * capacity
         for batch in batches:
             held, size = [], 0
-            for one, words in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = encode(words) + end
+            for one, words in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                ids = encode(words.as_py()) + end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     held.append((one, at // step, at // 4, len(part) // 4, part))

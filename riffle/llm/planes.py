@@ -157,8 +157,8 @@ def write(
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for one, words in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = encode(words) + end
+            for one, words in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                ids = encode(words.as_py()) + end
                 waiting.append((one, ids))
                 size += len(ids)
                 if size >= 4 * file_ids:

@@ -108,8 +108,8 @@ def write(
             return pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([records], pa.int64())})
 
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("page_id", "url", "payload", "digest", "response_of")]
-            for row in zip(*columns):
+            columns = [batch[c] for c in ("page_id", "url", "payload", "digest", "response_of")]
+            for row in ([cell.as_py() for cell in cells] for cells in zip(*columns)):
                 if out is None:
                     name = f"captures-{part:07d}-{number:05d}.warc.gz"
                     attempt = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
