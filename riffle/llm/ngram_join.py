@@ -110,7 +110,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [grams(text) for text in map(pa.Scalar.as_py, batch["body"])]
+            sets = [grams(text) for text in (cell.as_py() for cell in batch["body"])]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             counts = pa.array(map(len, sets), pa.int32())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], counts, pa.array(keys, pa.binary())], ["doc_id", "n", "key"])
