@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riffle.functions import labels, times
 
 SLOT = ("gauge_id", "mountain_time")
+DATA_TYPES = ("observed", "forecast")
 
 
 def _is_observed() -> Column:
@@ -53,17 +54,28 @@ def forecast_cutoff(
     return kept.drop("max_observed")
 
 
-def conflict_filter(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def conflict_filter(
+    df: DataFrame, keys: Sequence[str] = (), sources: Sequence[str] = labels.SOURCES
+) -> DataFrame:
     """Keep every observed row, and a forecast only where it is alone at its gauge and time.
 
     A counting window would bring all copies of a crowded hour into one task. Here observed rows
     pass straight through, and a lone forecast is recovered from its group's pre-aggregated count.
     ``source`` is never null: ingest stamps it.
     """
-    columns = df.columns
-    row = F.when(~_is_observed(), F.struct(*columns))
-    groups = df.groupBy(*keys, *SLOT).agg(F.count("source").alias("copies"), F.max(row).alias("row"))
-    lone = groups.filter((F.col("copies") == 1) & F.col("row").isNotNull()).select("row.*")
+    ids = [*keys, *SLOT]
+    carried = [c for c in df.columns if c not in ids]
+    texts = {"source": sources, "data_type": DATA_TYPES}
+    # A lone forecast is the only one of its kind, so any maximum returns its values. Known texts travel as codes.
+    coded = df.withColumns({f"{c}_code": F.expr(labels.code_sql(c, texts[c])) for c in carried if c in texts})
+    held = {c: f"{c}_code" if c in texts else c for c in carried}
+    groups = coded.groupBy(*ids).agg(
+        F.count("source").alias("copies"),
+        F.expr("count(1) FILTER (WHERE data_type <> 'observed') AS forecasts"),
+        *[F.expr(f"max(`{h}`) FILTER (WHERE data_type <> 'observed') AS `{h}`") for h in held.values()],
+    )
+    back = [f"{labels.text_sql(h, texts[c])} AS {c}" if c in texts else f"`{c}`" for c, h in held.items()]
+    lone = groups.filter("copies = 1 AND forecasts = 1").selectExpr(*ids, *back)
     return df.filter(_is_observed()).unionByName(lone)
 
 
@@ -79,6 +91,7 @@ def clean_readings(
     on_duplicate: str = "error",
     version: Sequence[str] = ("utc_time",),
     latest: DataFrame | None = None,
+    sources: Sequence[str] = labels.SOURCES,
 ) -> DataFrame:
     """Forecast cut-off, conflict filter and uniqueness in one aggregation per gauge and hour.
 
@@ -89,14 +102,15 @@ def clean_readings(
     ``on_duplicate="error"`` fails when two observed rows share a slot, and drops all forecasts of
     a slot that has several. ``"latest"`` keeps the row with the greatest ``version`` instead,
     which must be unique within gauge, time and data type. ``latest`` overrides where the bound of
-    the cut-off is read from (columns: keys and ``max_observed``).
+    the cut-off is read from (columns: keys and ``max_observed``). ``sources`` are the texts that may
+    occur as source.
     """
     if on_duplicate not in ("error", "latest"):
         raise ValueError(f"unknown on_duplicate: {on_duplicate}")
     strict = on_duplicate == "error"
     values = ["flow_cfs", "stage_ft"]
     kept = [c for c in ("run_time",) if c in df.columns]
-    coded = df.withColumn("source_code", F.expr(labels.code_sql("source", labels.SOURCES)))
+    coded = df.withColumn("source_code", F.expr(labels.code_sql("source", sources)))
     carried = [*values, *kept, "source_code"]
     # Several version columns compare as a struct, which Spark aggregates by sorting.
     order = version[0] if len(version) == 1 else f"struct({', '.join(version)})"
@@ -129,7 +143,7 @@ def clean_readings(
     return slots.selectExpr(
         *keys,
         "gauge_id",
-        f"{labels.text_sql(chosen('source_code'), labels.SOURCES)} AS source",
+        f"{labels.text_sql(chosen('source_code'), sources)} AS source",
         "if(observed_rows > 0, 'observed', 'forecast') AS data_type",
         "mountain_time",
         *[f"{chosen(c)} AS {c}" for c in [*values, *kept]],

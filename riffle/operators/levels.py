@@ -118,34 +118,41 @@ def level_union(feet: DataFrame, cfs: DataFrame) -> DataFrame:
     return feet.unionByName(cfs)
 
 
-def unit_levels() -> str:
-    """All series, each in the unit of its own section, as an ``inline`` over the filled columns."""
+def named_series(names: Sequence[str]) -> list[dims.Series]:
+    """The series of the named sections."""
+    ids = {row[0] for row in dims.SECTION_ROWS if row[3] in names}
+    return [s for s in dims.SERIES if s.section_id in ids]
+
+
+def unit_levels(chosen: Sequence[dims.Series] = dims.SERIES) -> str:
+    """The series, each in the unit of its own section, as an ``inline`` over the filled columns."""
 
     def one(s: dims.Series) -> str:
         unit = dims.UNIT_OF_SECTION[s.section_id]
         level = formula(s, lambda gauge: f"{dims.METRIC_OF_UNIT[unit]}_{gauge}")
         return f"struct(float({level}), {s.section_id}, '{s.flow_type}', '{unit}')"
 
-    rows = ", ".join(one(s) for s in dims.SERIES)
+    rows = ", ".join(one(s) for s in chosen)
     return f"inline(array({rows})) AS (river_level, section_id, flow_type, flow_unit)"
 
 
-def unit_series() -> dict[str, tuple[str, int]]:
+def unit_series(chosen: Sequence[dims.Series] = dims.SERIES) -> dict[str, tuple[str, int]]:
     """Only the gauge series that some section uses in its own unit."""
-    pairs = {
-        (dims.METRIC_OF_UNIT[dims.UNIT_OF_SECTION[s.section_id]], abs(term)) for s in dims.SERIES for term in s.terms
-    }
+    pairs = {(dims.METRIC_OF_UNIT[dims.UNIT_OF_SECTION[s.section_id]], abs(term)) for s in chosen for term in s.terms}
     return {f"{metric}_{gauge}": (metric, gauge) for metric, gauge in sorted(pairs)}
 
 
-def section_levels(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Long levels of every series in its section's unit, from one matrix of both metrics.
+def section_levels(
+    clean: DataFrame, keys: Sequence[str] = (), chosen: Sequence[dims.Series] = dims.SERIES
+) -> DataFrame:
+    """Long levels of the series in their sections' units, from one matrix of both metrics.
 
-    Equals the union of both units after the section join has discarded the foreign unit.
+    Equals the union of both units after the section join has discarded the foreign unit. Only the
+    gauges that the chosen series need are pivoted and filled; the times are those of all gauges.
     """
-    series = unit_series()
+    series = unit_series(chosen)
     filled = fill_gaps(series_matrix(clean, series, keys), list(series), keys)
-    return filled.selectExpr(*keys, *INDEX, unit_levels())
+    return filled.selectExpr(*keys, *INDEX, unit_levels(chosen))
 
 
 def section_levels_long(

@@ -115,12 +115,17 @@ def with_rank(df: DataFrame) -> DataFrame:
 
 
 def summarise(latest: DataFrame, rivers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Display table of latest levels; sections of a river with equal values share a row."""
+    """Display table of latest levels; sections of a river with equal values share a row.
+
+    Without keys the rows come in display order; with keys they are ordered within each network.
+    """
     ranked = with_rank(current_rivers(current_pivot(latest, keys), rivers))
     merged = ranked.groupBy(
         *keys, "river_name", "river_level", "flow_range", "river_level_max", "flow_range_max", "rank"
     ).agg(labels.joined_names(F.col("section_name")).alias("sections"))
-    ordered = merged.orderBy(*keys, F.asc("rank"), F.desc_nulls_first("river_level"), "sections")
+    order = [F.asc("rank"), F.desc_nulls_first("river_level"), F.asc("sections")]
+    # A total order over many networks would cost a range shuffle of them all and serve no reader.
+    ordered = merged.repartition(*keys).sortWithinPartitions(*keys, *order) if keys else merged.orderBy(*order)
     return ordered.select(
         *keys,
         "sections",

@@ -48,6 +48,16 @@ def ranges_of(cleaned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return classify.level_ranges(levels.section_levels(cleaned, keys), section_dim(cleaned.sparkSession), keys)
 
 
+def view_of(cleaned: DataFrame, names: Sequence[str] = summary.DEFAULT_SECTIONS, keys: Sequence[str] = ()) -> DataFrame:
+    """Level series of the named sections, derived for them alone; names that no section has give nothing."""
+    chosen = levels.named_series(names)
+    if not chosen:
+        return summary.series_view(ranges_of(cleaned, keys), names, keys)
+    sections = section_dim(cleaned.sparkSession)
+    ranges = classify.level_ranges(levels.section_levels(cleaned, keys, chosen), sections, keys)
+    return summary.series_view(ranges, names, keys)
+
+
 def current_of(cleaned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Current conditions, reduced straight from cleaned readings."""
     spark = cleaned.sparkSession

@@ -324,7 +324,7 @@ def section_levels_long(spark, sf_dir):
 def dim_sections(spark, sf_dir):
     """The section table with its river and the clean readings that feed each section."""
     per_gauge = _clean(spark, sf_dir).groupBy("gauge_id").agg(F.count(F.lit(1)).alias("readings"))
-    fed = F.broadcast(dims.coefficients(spark)).join(per_gauge, "gauge_id", "left")
+    fed = dims.coefficients(spark).join(per_gauge, "gauge_id", "left")
     per_section = fed.groupBy("section_id").agg(F.sum(F.coalesce("readings", F.lit(0))).alias("readings"))
     named = summary.current_rivers(pipeline.section_dim(spark), pipeline.river_dim(spark))
     return named.join(per_section, "section_id").select(
@@ -429,12 +429,12 @@ def flow_color(spark, sf_dir):
 
 @_query
 def forecast_view(spark, sf_dir):
-    return _doubles(summary.series_view(_ranges(spark, sf_dir)))
+    return _doubles(pipeline.view_of(_clean(spark, sf_dir)))
 
 
 @_query
 def section_view(spark, sf_dir):
-    return _doubles(summary.series_view(_ranges(spark, sf_dir), names=("The Cabarton",)))
+    return _doubles(pipeline.view_of(_clean(spark, sf_dir), ("The Cabarton",)))
 
 
 @_query

@@ -138,17 +138,39 @@ def observed_calls(payloads: DataFrame) -> DataFrame:
         ),
     ).withColumn("hours", F.filter(records, lambda r: _on_hour(r["at"])))
 
-    def value_at(code: str, time: Column) -> Column:
-        return F.get(F.filter(hours, lambda r: (r["code"] == code) & (r["time"] == time)), 0)["value"]
+    # Times, flows and stages of a response, sorted so that what belongs to one time stands together:
+    # the time itself, then its flow, then its stage, each at most once.
+    def entries(rank: int, chosen: Column, value) -> Column:
+        return F.transform(
+            chosen,
+            lambda r: F.struct(r["time"].alias("time"), F.lit(rank).alias("rank"), r["at"].alias("at"), value(r).alias("value")),
+        )
+
+    def of(code: str) -> Column:
+        return F.filter(hours, lambda r: r["code"] == code)
+
+    merged = F.col("merged")
+    sorted_entries = F.array_sort(
+        F.concat(
+            F.array_distinct(entries(0, hours, lambda r: F.lit(None).cast("double"))),
+            entries(1, of(FLOW_CODE), lambda r: r["value"]),
+            entries(2, of(STAGE_CODE), lambda r: r["value"]),
+        )
+    )
+
+    def reading(entry: Column, i: Column) -> Column:
+        def value(rank: int) -> Column:
+            following = [F.get(merged, i + step) for step in range(1, rank + 1)]
+            found = [F.when((e["time"] == entry["time"]) & (e["rank"] == rank), e["value"]) for e in following]
+            return F.coalesce(*found)
 
-    def reading(time: Column) -> Column:
-        at = F.get(F.filter(hours, lambda r: r["time"] == time), 0)["at"]
-        return _utc_reading(at, value_at(FLOW_CODE, time), value_at(STAGE_CODE, time))
+        return F.when(entry["rank"] == 0, _utc_reading(entry["at"], value(1), value(2)))
 
     distinct_times = F.array_distinct(F.transform(records, lambda r: r["time"]))
-    hour_times = F.array_distinct(F.transform(hours, lambda r: r["time"]))
     rows = F.coalesce(F.array_size(distinct_times), F.lit(0))
-    return _finish(checked, rows, F.transform(hour_times, reading)).drop("doc", "records", "hours")
+    paired = F.filter(F.transform(merged, reading), lambda r: r.isNotNull())
+    done = _finish(checked.withColumn("merged", sorted_entries), rows, paired)
+    return done.drop("doc", "records", "hours", "merged")
 
 
 def csv_calls(payloads: DataFrame) -> DataFrame:

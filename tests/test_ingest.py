@@ -1,6 +1,6 @@
 """Landed responses to readings and audit rows."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +64,21 @@ def test_observed_with_one_parameter(spark):
     assert readings(spark, [("usgs", 2, text)]) == [(2, "usgs", "observed", datetime(2026, 4, 1, 6), 7.0, None)]
 
 
+def test_long_observed_responses(spark):
+    start = datetime(2026, 4, 1)
+    features = []
+    for i in range(3000):
+        time = (start + timedelta(hours=i)).strftime("%Y-%m-%dT%H:%M:%SZ")
+        codes = ("00060", "00065", "00010") if i % 3 == 0 else ("00065",) if i % 3 == 1 else ("00010",)
+        features += [_observed(time, f'"{code}"', f'"{i + int(code)}"') for code in codes]
+    text = '{"features":[' + ",".join(sorted(features, key=hash)) + "]}"
+    calls = ingest.parse_calls(land(spark, [("usgs", 2, text)]), dims.gauges(spark))
+    rows = sorted((r.utc_time, r.flow_cfs, r.stage_ft) for r in ingest.readings_of(calls).collect())
+    assert rows == [
+        (start + timedelta(hours=i), i + 60.0 if i % 3 == 0 else None, i + 65.0 if i % 3 < 2 else None) for i in range(3000)
+    ]
+
+
 def test_csv(spark):
     assert readings(spark, [("bureau_rec", 13, CSV)]) == [
         (13, "bureau_reclamation", "observed", datetime(2026, 4, 1, 10), 1234.5, None),

@@ -23,7 +23,7 @@ def count(plan, operator):
     return len(re.findall(rf"^[\s:+|-]*(?:\*\(\d+\) )?{operator}\b", plan, re.M))
 
 
-@pytest.mark.parametrize("name", ["clean_readings_latest", "current_levels", "current_levels_networks"])
+@pytest.mark.parametrize("name", ["clean_readings_latest", "conflict_filter", "current_levels", "current_levels_networks"])
 def test_history_is_reduced_by_hash_aggregates_alone(spark, name):
     plan = plan_of(spark, name)
     assert count(plan, "HashAggregate") > 0
@@ -60,3 +60,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(ts,2024-01-24T00:00)" in plan and "LessThanOrEqual(ts,2024-01-25T00:00)" in plan
     schema = re.search(r"ReadSchema: struct<(.*?)>", plan).group(1)
     assert "props" not in schema and "value" not in schema
+
+
+def test_views_pivot_only_the_gauges_they_need(spark):
+    plan = plan_of(spark, "forecast_view")
+    # Staircase needs gauges 2 and 3, The Canyon 4 and 5, and its maximum series also 6.
+    assert set(re.findall(r"AS (?:flow_cfs|stage_ft)_(\d+)#", plan)) == {"2", "3", "4", "5", "6"}
+
+
+def test_network_tables_are_not_put_in_total_order(spark):
+    assert "rangepartitioning" not in plan_of(spark, "current_levels_networks")
+    assert "rangepartitioning" in plan_of(spark, "current_levels")
