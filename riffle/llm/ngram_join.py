@@ -44,12 +44,12 @@ _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _FACTORS = _rng.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {}
+_powers: dict[np.uint64, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
     """Powers of an odd number modulo 2 to the 64."""
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         row = np.full(max(n, _CHUNK), base, np.uint64)
         row[0] = 1
         _powers[base] = np.multiply.accumulate(row)
