@@ -321,7 +321,7 @@ def links(sets: DataFrame, rounds: int = 12) -> DataFrame:
     """``doc_id, comp`` of the documents that some similar one links, comp being the smallest id of their component."""
     lists = shared.stored(postings(sets).withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")), "postings")
     labelled = shared.stored(sets.select("doc_id", F.col("doc_id").alias("comp")).distinct(), "components")
-    spark, done = sets.sparkSession, None
+    done, fruitful = None, True
     for turn in range(rounds + 1):
         current = lists.join(labelled, "doc_id")
         per_comp = current.groupBy("gram", "comp").agg(F.count("*").alias("m"))
@@ -333,7 +333,8 @@ def links(sets: DataFrame, rounds: int = 12) -> DataFrame:
         if not left[0]:
             break
         current = lists.join(labelled, "doc_id")
-        final = turn == rounds or left[0] <= 3 * left[1]
+        # Leaders pay while they link many; after that all that is left is compared.
+        final = turn == rounds or not fruitful or left[0] <= 3 * left[1]
         pairs = (_all_pairs if final else _star_pairs)(current, turn)
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
@@ -341,7 +342,9 @@ def links(sets: DataFrame, rounds: int = 12) -> DataFrame:
         both_ways = compared.select("x", "y").union(compared.select("y", "x"))
         done = both_ways if done is None else done.union(both_ways)
         found = compared.filter("linked").select("x", "y")
-        if found.limit(1).count():
+        asked, linked = compared.agg(F.count("*"), F.count_if("linked")).first()
+        fruitful = 10 * linked >= max(1, asked)
+        if linked:
             labelled = shared.stored(_relabel(labelled, found), "components")
         if final:
             break
