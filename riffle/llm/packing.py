@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riffle.llm import shared, token_ids
+from riffle.llm import token_ids
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: Pieces of one length that one task numbers.

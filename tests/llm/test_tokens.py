@@ -1,7 +1,6 @@
 """Token files and packing: round trips, exact packing, edge cases."""
 
 import random
-import zlib
 from collections import defaultdict
 
 import numpy as np
