@@ -35,7 +35,7 @@ _TAIL = [f"c{i}" for i in range(_CLASSES)]
 _SETS = "doc_id long, n int, alone int, grams binary"
 
 
-_CHUNK = 2**20
+_CHUNK = 2**18
 _rng = np.random.default_rng(20)
 #: A random number per byte, the same for both cases of a letter.
 _BYTES = _rng.integers(0, 2**64, 256, np.uint64)

@@ -12,6 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Bytes of rows that go to a Python worker at once. Rows are worked on one by one, so larger batches only cost memory.
+BATCH_BYTES = 4 * 2**20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep what workers hold at once small for texts of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -24,7 +24,7 @@ from riffle.llm import shared
 
 POOR, GOOD, ABSTAIN = 0, 1, 2
 _SYMBOLS = "#$%&*!|"
-_WORDS_REMEMBERED = 200_000
+_WORDS_REMEMBERED = 30_000
 
 
 class Words:
