@@ -2,7 +2,8 @@
 
 A vocabulary learned from ordinary text covers words with few tokens, but needs about one token per two characters
 for random strings. Long runs of key characters whose characters per token stay low are taken as
-secrets, unless they are shaped like a digest or an identifier that is known to be public.
+secrets, unless they are shaped like a digest or an identifier that is known to be public. Names made of words
+need no exception: their tokens are long.
 """
 
 from __future__ import annotations
@@ -27,13 +28,11 @@ RANDOM = "random"
 KINDS = (*BASE_KINDS, RANDOM)
 _LEAST_ASSIGNED, _LEAST_ACCESS = 8, 16
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: Public strings that look random: digests by length, UUIDs, numbers, and names made of words.
+#: Public strings that look random: digests by length, UUIDs and numbers.
 _KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-    r"|[0-9+/_=-]+"
-    r"|[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*[+/_=-]*"
-    r"|(?:[A-Za-z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Za-z]+|[0-9]{1,4}))*)"
+    r"|[0-9+/_=-]+)"
 )
 _SPANS = "array<struct<kind: string, start: long, end: long>>"
 

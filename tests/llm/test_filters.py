@@ -1,7 +1,9 @@
 """URL rules, secrets and the quality classifier."""
 
 import hashlib
+import random
 import re
+import string
 
 import duckdb
 import pytest
@@ -129,6 +131,21 @@ def test_random_strings_but_not_digests_or_identifiers(spark):
     assert {i: x for i, x in found.items() if x} == {11: [(0, 24)]}
 
 
+def test_random_letters_are_found_and_names_are_not(spark):
+    dice, names = random.Random(3), ["thisisaverylongwordwithoutanydigits", "path/to/some/other/directory/file", "internationalisation-und-lokalisierung"]
+    draw = {
+        "mixed": lambda: "".join(dice.choices(string.ascii_letters, k=dice.randint(20, 64))),
+        "lower": lambda: "".join(dice.choices(string.ascii_lowercase, k=dice.randint(20, 64))),
+        "groups": lambda: "-".join("".join(dice.choices(string.ascii_letters, k=6)) for _ in range(5)) + "-12",
+    }
+    for kind, one in draw.items():
+        texts = [one() for _ in range(300)]
+        found = [r["secrets"] for r in secrets_of(spark, [f"see {t} there" for t in texts]).orderBy("doc_id").collect()]
+        hits = sum([tuple(s) for s in x] == [("random", 4, 4 + len(t))] for x, t in zip(found, texts))
+        assert hits >= (0.9 if kind == "lower" else 0.99) * len(texts), kind
+    assert all(not r["secrets"] for r in secrets_of(spark, [f"see {t} there" for t in names]).collect())
+
+
 def test_registered_scan_on_the_table(spark):
     texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF_DIR}/documents.parquet'").fetchall())
     rows = queries.op3_secret_scan(spark, SF_DIR).collect()
