@@ -24,7 +24,7 @@ from riffle.llm import shared
 
 POOR, GOOD, ABSTAIN = 0, 1, 2
 _SYMBOLS = "#$%&*!|"
-_WORDS_REMEMBERED = 30_000
+_WORDS_REMEMBERED, _LONGEST_REMEMBERED = 30_000, 64
 
 
 class Words:
@@ -120,30 +120,41 @@ def expectation_maximisation(
     return posterior, rates, prior
 
 
+class _Kinds(dict):
+    """Kind of a character by its code point: letters as ``a`` or ``A``, digits as ``0``, all else as it is."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        found = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
+        if len(self) < _WORDS_REMEMBERED:
+            self[point] = found
+        return found
+
+
+_KINDS = _Kinds()
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
 def _shape(word: str) -> str:
-    """Letters as ``a`` or ``A``, digits as ``0``, runs once; all else as it is."""
+    """Letters as ``a`` or ``A``, digits as ``0``, runs once; all else as it is. The whole word counts, however long."""
     if word.isalpha():
         return "a" if word.islower() else "A" if word.isupper() else "Aa"
-    out, last = [], ""
-    for c in word[:64]:
-        kind = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if kind != last:
-            out.append(kind)
-        last = kind
-    return "".join(out)
+    return _RUN.sub(r"\1", word.translate(_KINDS))
 
 
 class _Slots(dict):
-    """Slots of a word's hashed features, remembered per worker."""
+    """Slots of a word's hashed features, remembered per worker; long words, maybe whole texts, are not kept."""
 
     def __init__(self, slots: int):
         super().__init__()
         self.slots = slots
 
     def __missing__(self, word: str) -> int:
-        if len(self) > _WORDS_REMEMBERED:
-            self.clear()
-        found = self[word] = zlib.crc32(_shape(word).encode()) % self.slots
+        found = zlib.crc32(_shape(word).encode()) % self.slots
+        if len(word) <= _LONGEST_REMEMBERED:
+            if len(self) > _WORDS_REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
 

@@ -186,3 +186,16 @@ def test_classifier_edges(spark):
     assert len({r["score"] for r in rows if r["doc_id"] in (3, 5, 7)}) == 1
     assert weak_quality.classify(docs.limit(0)).count() == 0
     assert weak_quality.classify(docs.filter(F.col("doc_id") < 3)).filter("keep").count() == 0
+
+
+def test_long_unspaced_texts_are_judged_to_their_end(spark):
+    junk, clean = "w" * 64 + "#$%*" * 50_000, "w" * 64
+    assert weak_quality._shape(junk) == "a" + "#$%*" * 50_000 and weak_quality._shape("Ab12É-ß!!\u0663x") == "Aa0A-a!0a"
+    at = [weak_quality.features(weak_quality.Words(t), 2**14)[0].tolist() for t in (junk, clean, "word", "w" * 64 + "#" * 9)]
+    assert at[1] == at[2] and at[0] != at[1] and at[3] not in at[:3]
+    assert junk not in weak_quality._slots(2**14)
+    good = ["The river runs over old stones and past the mill, where children play.", "word"]
+    poor = ["BUY!! NOW!! BUY!! NOW!! CHEAP!! OFFER!! BUY!!", junk]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good * 20 + poor * 10)], "doc_id long, text string")
+    keep = {r["text"]: r["keep"] for r in weak_quality.classify(docs).collect()}
+    assert keep == {good[0]: True, good[1]: True, poor[0]: False, junk: False}
