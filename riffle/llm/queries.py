@@ -97,7 +97,7 @@ def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = shared.scratch(spark, "warc")
-    warc.write(_table(spark, sf_dir, "pages"), directory, least=1000)
+    warc.write(_table(spark, sf_dir, "pages"), directory, least=1000, each_row=True)
     return warc.facts(warc.assemble(warc.read(spark, directory, payloads=False)))
 
 

@@ -25,14 +25,18 @@ VERSION = b"WARC/1.1"
 # Fixed value: the profile that the format defines for revisits.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+_DECIDED = ("page_id", "url", "payload", "digest", "response_of", "response_url", "turn", "turns")
 _MANIFEST = "file string, records long"
 _RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, digest string, length long, payload binary"
 _LENGTH = "payload_bytes"
+#: Repeats of a row that are written as one row of a task; more go to further tasks.
+_TURNS = 64
 
 
-def _id(kind: str, page_id: int | None, digest: str) -> str:
-    """The record id follows from the page and its payload, so a task that runs again writes the same."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{kind}:{page_id}:{digest}')}>"
+def _id(kind: str, page_id: int | None, url: str | None, digest: str, turn: int) -> str:
+    """The record id follows from the page, its URL, its payload and the row's turn among equal rows, so a task
+    that runs again writes the same."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, json.dumps([kind, page_id, url, digest, turn]))}>"
 
 
 def _record(kind: str, record_id: str, headers: list[tuple[str, str]], content: bytes) -> bytes:
@@ -41,9 +45,13 @@ def _record(kind: str, record_id: str, headers: list[tuple[str, str]], content:
     return VERSION + b"\r\n" + head.encode() + b"\r\n" + content + b"\r\n\r\n"
 
 
-def capture(page_id: int | None, url: str | None, payload: bytes, digest: str, response_of: int | None) -> list[bytes]:
-    """The records of one page; ``response_of`` is the page with an equal payload that it revisits, or null."""
-    own, place = _id("response", page_id, digest), quote(url or "", safe=":/?#[]@!$&'()*+,;=%-._~")
+def capture(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, response_of: int | None,
+    response_url: str | None = None, turn: int = 0,
+) -> list[bytes]:
+    """The records of one page; ``response_of`` and ``response_url`` are the page with an equal payload that it
+    revisits, or null. Rows that are equal differ by ``turn``; the first one has 0 and is the one revisited."""
+    own, place = _id("response", page_id, url, digest, turn), quote(url or "", safe=":/?#[]@!$&'()*+,;=%-._~")
     target = [("WARC-Target-URI", place)]
     digests = [("WARC-Payload-Digest", f"sha1:{digest}")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -51,7 +59,7 @@ def capture(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     if response_of is None:
         main = _record("response", own, target + digests + message, http + payload)
     else:
-        earlier = [("WARC-Profile", PROFILE), ("WARC-Refers-To", _id("response", response_of, digest))]
+        earlier = [("WARC-Profile", PROFILE), ("WARC-Refers-To", _id("response", response_of, response_url, digest, 0))]
         main = _record("revisit", own, target + digests + earlier + message, http)
     asked = f"GET {place or '/'} HTTP/1.1\r\n\r\n".encode()
     together = [("WARC-Concurrent-To", own)]
@@ -59,39 +67,64 @@ def capture(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     facts = {"page_id": page_id, "url": url, _LENGTH: len(payload), "refers_to": response_of}
     about = [*target, *together, ("Content-Type", "application/json")]
     return [
-        _record("request", _id("request", page_id, digest), request, asked),
+        _record("request", _id("request", page_id, url, digest, turn), request, asked),
         main,
-        _record("metadata", _id("metadata", page_id, digest), about, json.dumps(facts).encode()),
+        _record("metadata", _id("metadata", page_id, url, digest, turn), about, json.dumps(facts).encode()),
     ]
 
 
-def decide(pages: DataFrame, page_id: str, payload: str, least: int) -> DataFrame:
-    """``page_id, url, payload, digest, response_of``: which earlier payload each page repeats.
+def decide(pages: DataFrame, page_id: str, payload: str, least: int, each_row: bool) -> DataFrame:
+    """``page_id, url, payload, digest, response_of, response_url, turn, turns``: which earlier payload each page
+    repeats, and from which turn on how many captures it gets.
 
-    Only pages whose payload others share are joined back, by small rows without payloads.
+    Only pages whose payload others share, or rows that are repeated, are joined back, by small rows without payloads. With
+    ``each_row`` equal rows become one per ``_TURNS`` of them, so that no task gets all of a large group.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     read = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload")
     ).withColumn("digest", F.sha1("payload"))
-    large = read.filter(F.length("payload") >= least).select("page_id", "digest")
-    groups = large.groupBy("digest").agg(F.max("page_id").alias("response_of"), F.count("*").alias("n")).filter("n > 1")
-    repeats = large.join(groups.drop("n"), "digest").filter("response_of IS NOT NULL AND NOT page_id <=> response_of")
-    repeats = repeats.distinct().select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "response_of")
-    same = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
-    return read.join(repeats, same, "left").drop("r_id", "r_digest")
+    keys = ("page_id", "url", "digest")
+    rows = read.groupBy(*keys, (F.length("payload") >= least).alias("large")).agg(F.count("*").alias("n"))
+    last = F.max(F.struct("page_id", "url"))
+    groups = rows.filter("large").groupBy("digest").agg(last.alias("last"), F.count("*").alias("m")).filter("m > 1")
+    other = F.col("last.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last.page_id"))
+    if each_row:
+        other = other & F.col("page_id").isNotNull()
+    told = rows.join(groups.drop("m"), "digest", "left").select(
+        *[F.col(k).alias(f"r_{k}") for k in keys],
+        F.when(other, F.col("last.page_id")).alias("response_of"),
+        F.when(other, F.col("last.url")).alias("response_url"),
+        (F.col("n") if each_row else F.lit(1).cast("long")).alias("n"),
+    )
+    told = shared.stored(told.filter("response_of IS NOT NULL OR n > 1"), "repeats")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    names = (*keys, "payload", "response_of", "response_url")
+    alone = read.join(told, same, "left").filter("n IS NULL OR n = 1")
+    alone = alone.select(*names, F.lit(0).cast("long").alias("turn"), F.lit(1).cast("long").alias("turns"))
+    if not each_row:
+        return alone
+    # Equal rows hold equal payloads, so one of them and their number say all.
+    equal = read.join(told.filter("n > 1"), same).groupBy(*keys, "response_of", "response_url", "n")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_TURNS).cast("long")))
+    equal = equal.agg(F.first("payload").alias("payload")).withColumn("turn", starts)
+    equal = equal.withColumn("turns", F.least(F.lit(_TURNS).cast("long"), F.col("n") - F.col("turn")))
+    return alone.unionByName(equal.select(*names, "turn", "turns").repartition(*keys, "turn"))
 
 
 def write(
     pages: DataFrame, directory: str, page_id: str = "page_id", payload: str = "html", least: int = 1000, level: int = 3,
-    file_bytes: int = 32_000_000,
+    file_bytes: int = 32_000_000, each_row: bool = False,
 ) -> DataFrame:
     """Write a capture per page under ``directory``; returns the manifest, a row per file.
 
     Of the pages with equal payloads of at least ``least`` bytes the one with the largest id is a response and the
     others revisit it; all other pages are responses. A null payload is empty; a null URL is an empty target. A null id is a
-    page of its own per payload, and never the one that others revisit unless it is the only kind. Rows that repeat
-    id and payload write the same records again, which readers take for one. ``url`` must be a column; further columns are ignored. An empty table
+    page of its own per URL and payload, and never the one that others revisit unless it is the only kind. Rows that share id and payload
+    but not the URL are captures of their own. Rows that repeat all three are captures of their own with ``each_row``, as in the SQL, where null ids revisit
+    nothing either; without, they write the same records again, which readers take for one. ``url`` must be a column; further columns are ignored. An empty table
     gives no files. A task that runs again writes the same files under the same names.
     """
     from pyarrow import fs
@@ -108,23 +141,24 @@ def write(
             return pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([records], pa.int64())})
 
         for batch in batches:
-            columns = [batch[c] for c in ("page_id", "url", "payload", "digest", "response_of")]
-            for row in ([cell.as_py() for cell in cells] for cells in zip(*columns)):
-                if out is None:
-                    name = f"captures-{part:07d}-{number:05d}.warc.gz"
-                    attempt = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
-                    out, written, records = system.open_output_stream(attempt, compression=None), 0, 0
-                for record in capture(*row):
-                    member = gzip.compress(record, level, mtime=0)
-                    out.write(member)
-                    written, records = written + len(member), records + 1
-                if written >= file_bytes:
-                    yield close()
-                    out, number = None, number + 1
+            columns = [batch[c] for c in _DECIDED]
+            for *row, turn, turns in ([cell.as_py() for cell in cells] for cells in zip(*columns)):
+                for own in range(turn, turn + turns):
+                    if out is None:
+                        name = f"captures-{part:07d}-{number:05d}.warc.gz"
+                        attempt = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
+                        out, written, records = system.open_output_stream(attempt, compression=None), 0, 0
+                    for record in capture(*row, own):
+                        member = gzip.compress(record, level, mtime=0)
+                        out.write(member)
+                        written, records = written + len(member), records + 1
+                    if written >= file_bytes:
+                        yield close()
+                        out, number = None, number + 1
         if out is not None:
             yield close()
 
-    decided = decide(pages, page_id, payload, least).select("page_id", "url", "payload", "digest", "response_of")
+    decided = decide(pages, page_id, payload, least, each_row).select(*_DECIDED)
     return shared.stored(decided.mapInArrow(files, _MANIFEST), "manifest")
 
 
@@ -187,15 +221,12 @@ def assemble(found: DataFrame) -> DataFrame:
     a response.
     """
     fields = ("record_id", "type", "refers_to", "uri", "digest", "length", "payload")
-    member = F.struct(*fields).alias("record")
-    keyed = found.select(F.coalesce("concurrent_to", "record_id").alias("capture_id"), member)
-    grouped = keyed.groupBy("capture_id").agg(F.collect_list("record").alias("members"))
 
     def of(*kinds: str):
-        return F.try_element_at(F.filter("members", lambda r: r["type"].isin(*kinds)), F.lit(1))
+        return F.first(F.when(F.col("type").isin(*kinds), F.struct(*fields)), ignorenulls=True)
 
-    return grouped.select(
-        "capture_id",
+    # One record of each kind is held per capture, however often it was written.
+    return found.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
         of("response", "revisit").alias("response"),
         of("request").alias("request"),
         of("metadata").alias("metadata"),

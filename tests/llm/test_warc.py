@@ -2,10 +2,13 @@
 
 import hashlib
 import io
+import json
+from collections import Counter
 
+import duckdb
 import pytest
 
-from riffle.llm import shared, warc
+from riffle.llm import oracle, shared, warc
 
 SCHEMA = "page_id long, url string, html string, digest string, payload string"
 BIG, OTHER = "<p>ü</p>" * 200, "<p>b</p>" * 200
@@ -68,6 +71,32 @@ def test_repeated_rows_are_one_capture(spark):
     assert len(got) == len(PAGES) and set(got) == expected(PAGES)
 
 
+def test_each_row_comes_back_as_often_as_the_sql_says(spark, tmp_path):
+    rows = PAGES + PAGES[:4] + [(None, f"http://n/{i}", None) for i in range(3)] + [(None, None, "")] * 3 + [(None, "u", OTHER)]
+    rows += [(7, "http://other/7", BIG), (21, "http://m/1", "z" * 1500), (21, "http://m/2", "z" * 1500), (20, "u", "z" * 1500)]
+    rows += [(30, "http://hot", "h" * 1200)] * 200 + [(29, "http://hot", "h" * 1200)] * 3
+    for least in (1000, 10**9):
+        manifest, captures = roundtrip(spark, rows, each_row=True, least=least, file_bytes=10_000)
+        assert sum(r["records"] for r in manifest.collect()) == 3 * len(rows)
+        got = Counter(tuple(r) for r in warc.facts(captures).collect())
+        table = tmp_path / f"pages-{least}.parquet"
+        pages(spark, rows).write.parquet(str(table))
+        sql = oracle.sql()["op7_warc_transactions"].replace("FROM pages", f"FROM '{table}/*.parquet'").replace(">= 1000", f">= {least}")
+        assert got == Counter(duckdb.sql(sql).fetchall())
+        found = captures.collect()
+        urls = Counter(json.loads(r["metadata"]["payload"])["url"] for r in found)
+        assert urls == Counter(url for _, url, _ in rows)
+        responses = {r["capture_id"] for r in found if r["response"]["type"] == "response"}
+        assert {r["response"]["refers_to"] for r in found if r["response"]["type"] == "revisit"} <= responses
+
+
+def test_pages_that_differ_in_their_url_are_captures_of_their_own(spark):
+    rows = [(None, "http://a", None), (None, "http://b", ""), (1, "http://a", BIG), (1, "http://b", BIG)]
+    for each_row in (False, True):
+        _, captures = roundtrip(spark, rows, each_row=each_row)
+        assert captures.count() == 4
+
+
 def test_empty_table(spark):
     directory = shared.scratch(spark, "warc")
     assert warc.write(pages(spark, []), directory).count() == 0
