@@ -8,6 +8,8 @@ resolved by id.
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from riffle.llm import shared
 
-#: Quantised components beyond this magnitude do not take part: their scores would not fit in a long.
+#: Rows and queries with quantised components from this magnitude on are multiplied out instead of sliced.
 LIMIT = 2**24
 _SCHEMA = "query_id long, vec_id long, score long"
 
@@ -104,6 +106,24 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
+def _sliced(values: np.ndarray) -> np.ndarray:
+    """Whether each row is one for the index, where no score of two such rows leaves a long."""
+    limit = min(LIMIT, int((2**62 // values.shape[1]) ** 0.5))
+    return (values.max(axis=1) < limit) & (values.min(axis=1) > -limit)
+
+
+def multiplied(values: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows whose inner product with the query fits in a long, and the products."""
+    fits, size, factors = np.ones(len(values), bool), np.abs(query.astype(np.float64)), query.tolist()
+    for at in range(0, len(values), 1024):
+        unsure = np.flatnonzero(np.abs(values[at : at + 1024].astype(np.float64)) @ size > 2.0**62) + at
+        for row in unsure:
+            fits[row] = -(2**63) <= sum(map(operator.mul, values[row].tolist(), factors)) < 2**63
+    rows = np.flatnonzero(fits)
+    # Products and sums are taken modulo 2**64, so a result that fits is exact.
+    return rows, (values @ query)[rows]
+
+
 def search(
     df: DataFrame,
     is_query: str,
@@ -118,11 +138,11 @@ def search(
 
     ``is_query`` is a condition on ``id``. Candidates of a query are all rows but those with its own
     id; ties go to the smaller id. Rows with a null id, a null or empty vector, or a null, non-finite
-    or (beyond ``LIMIT`` after scaling) unrepresentable component take no part. Vectors of different
+    or unrepresentable component (from 2**63 on after scaling) take no part, and pairs whose score does not fit in a long are left out. Vectors of different
     lengths are not compared. Of rows that share an id the one with the smallest vector counts. Further columns are ignored.
     Fewer than k candidates are all returned; without queries the result is empty.
     """
-    vectors = shared.usable_vectors(df, vec_id, vector).filter(F.expr(f"forall(vec, x -> abs(x) < {LIMIT}D / {scale})"))
+    vectors = shared.usable_vectors(df, vec_id, vector).filter(F.expr(f"forall(vec, x -> abs(x) < {2**63}D / {scale})"))
     grid = shared.tiles(vectors, is_query, rows_per_block, queries_per_block)
     if grid is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -132,12 +152,23 @@ def search(
         for n, (ids, matrix) in shared.by_dimension(candidates, "id", "vec").items():
             if n not in asked:
                 continue
-            index = BitSlicedIndex(quantise(matrix, scale))
-            for query_id, factors in zip(asked[n][0], quantise(asked[n][1], scale)):
-                at = int(np.searchsorted(ids, query_id))
-                own = at if at < len(ids) and ids[at] == query_id else None
-                rows = index.top(factors, k, own)
-                out.append((np.full(len(rows), query_id), ids[rows], index.values[rows] @ factors))
+            values, wanted = quantise(matrix, scale), quantise(asked[n][1], scale)
+            small = _sliced(values)
+            groups = [(ids, values, True)] if small.all() else [(ids[g], values[g], g is small) for g in (small, ~small)]
+            for own_ids, rows_of, sliced in groups:
+                index = BitSlicedIndex(rows_of) if sliced and len(own_ids) else None
+                for query_id, factors, fine in zip(asked[n][0], wanted, _sliced(wanted)):
+                    at = int(np.searchsorted(own_ids, query_id))
+                    own = at if at < len(own_ids) and own_ids[at] == query_id else None
+                    if index and fine:
+                        rows = index.top(factors, k, own)
+                        scores = rows_of[rows] @ factors
+                    else:
+                        rows, scores = multiplied(rows_of, factors)
+                        rows, scores = (x[rows != own] for x in (rows, scores)) if own is not None else (rows, scores)
+                        best = np.lexsort((rows, ~scores))[:k]
+                        rows, scores = rows[best], scores[best]
+                    out.append((np.full(len(rows), query_id), own_ids[rows], scores))
         parts = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), parts)))
 

@@ -59,6 +59,16 @@ def test_topk_matches_brute_force_with_many_ties(spark, blocks):
     assert sorted(map(tuple, got)) == brute(rows, lambda i: i % 20 == 0, 7, inner)
 
 
+@pytest.mark.parametrize("blocks", [(32768, 1024), (20, 2)])
+def test_topk_keeps_large_components(spark, blocks):
+    large = [(100, [262144.0, 0.5, -1.0]), (110, [-3e5, 3e5, 7.0]), (120, [1e8, -1e8, 1e8]), (121, [2.0**40, 1.0, -(2.0**40)]), (140, [-(2.0**56), 2.0**50, 1.0])]
+    rows = vectors(60) + [(i, v, "s", 1) for i, v in large] + EDGES
+    got = topk.search(spark.createDataFrame(rows, SCHEMA), "id % 20 = 0", k=9, rows_per_block=blocks[0], queries_per_block=blocks[1])
+    fits = lambda a, b: len(a) == len(b) and -(2**63) <= inner(a, b) < 2**63
+    want = brute(rows, lambda i: i % 20 == 0, 9, inner, fits)
+    assert sorted(map(tuple, got.collect())) == want and {100, 110, 120, 121, 140} <= {r[2] for r in want}
+
+
 def test_topk_returns_all_of_few_candidates(spark):
     rows = vectors(4)
     got = topk.search(spark.createDataFrame(rows, SCHEMA), "id = 2", k=20).collect()
