@@ -44,9 +44,56 @@ FROM g
 """
 
 
+_OP11 = r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(body, '[A-Z]')) > 5 * length(body) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS failed
+  FROM t LEFT JOIN l USING (doc_id)
+), cells AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM d GROUP BY part, failed
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, s AS step, filter_order[s] AS f, filter_order[1:s - 1] AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)
+), met AS (
+  SELECT part, filter_order, step, f, n, good, toxic, failed, contains(failed, f) AS fails,
+         len(list_intersect(string_split(failed, ''), string_split(before, ''))) > 0 AND failed <> '' AND before <> '' AS gone
+  FROM cells, steps
+), told AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE failed = f), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE fails AND NOT gone), 0) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM told
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_bit_sliced_topk": _OP1,
         "op7_warc_transactions": _OP7,
         "op10_int8_neighbours": _OP10,
+        "op11_filter_shapley": _OP11,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import mixing, neighbours, ngram_join, packing, planes, secret_scan, shared, topk, url_rules, warc, weak_quality
+from riffle.llm import filter_audit, mixing, neighbours, ngram_join, packing, planes, secret_scan, shared, topk, url_rules, warc, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +114,10 @@ def op10_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
 
 
+def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_bit_sliced_topk": op1_bit_sliced_topk,
@@ -126,4 +130,5 @@ def registered() -> dict[str, Query]:
         "op8_ngram_join": op8_ngram_join,
         "op9_pivotal_mix": op9_pivotal_mix,
         "op10_int8_neighbours": op10_int8_neighbours,
+        "op11_filter_shapley": op11_filter_shapley,
     }

@@ -24,13 +24,15 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the setting is absent (single-machine tests) a temporary folder is made and set.
+    Only where the setting is absent and the session runs on this machine alone (tests) a temporary folder is made and set.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if named:
         return named.rstrip("/")
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='riffle-')}")
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
