@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riffle.llm import token_ids
+from riffle.llm import shared, token_ids
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: Pieces of one length that one task numbers.
-GROUP = 50_000
+#: Pieces of one length that are numbered together, and groups of a length at most.
+GROUP, MOST_GROUPS = 1_000, 100_000
 
 
 def cut(
@@ -41,8 +41,9 @@ def cut(
         encode, end, step = token_ids.encoder(tokenizer), struct.pack("<I", end_id), 4 * capacity
         for batch in batches:
             held, size = [], 0
-            for one, words in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = encode(words.as_py()) + end
+            texts = (cell.as_py() for cell in batch["text"])
+            for one, found in zip(batch["doc_id"].to_pylist(), encode.batch(texts)):
+                ids = found.tobytes() + end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     held.append((one, at // step, at // 4, len(part) // 4, part))
@@ -159,26 +160,27 @@ def intervals(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int
 def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """The rows of ``pieces`` with ``sequence_id`` and ``offset``; sequences are filled without gaps from 0.
 
-    ``pieces`` is read three times, so it should be stored. Columns already named like the two new ones are replaced; all
-    others stay. Lengths are whole numbers from 1 to ``capacity``; others, and null, are an error. Rows that are equal in
-    all columns are pieces of their own. An empty table gives an empty result.
+    Columns already named like the two new ones are replaced; all others stay. Lengths are whole numbers from 1 to
+    ``capacity``; others, and null, are an error. Rows that are equal in all columns are pieces of their own, told
+    apart by a mark, so that equal rows spread like others. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    sized = pieces.select(
-        F.struct(*own).alias("row"), F.col(length).cast("int").alias("size"), F.xxhash64(*own).alias("hash")
+    marked = pieces.select(
+        F.struct(*own).alias("row"), F.col(length).cast("int").alias("size"), F.monotonically_increasing_id().alias("mark")
     )
-    counts = {r["size"]: r["count"] for r in sized.groupBy("size").count().limit(capacity + 2).collect()}
+    marked = shared.stored(marked, "pieces")
+    counts = {r["size"]: r["count"] for r in marked.groupBy("size").count().limit(capacity + 2).collect()}
     if any(n is None or not 1 <= n <= capacity for n in counts):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     # One row per length and group of pieces: their numbers begin where those of the groups before end.
-    shards = F.greatest(F.lit(1), F.ceil(F.col("total") / GROUP)).cast("int")
+    groups = F.least(F.lit(MOST_GROUPS), F.ceil(F.col("total") / GROUP)).cast("int")
     totals = spark.createDataFrame(list(counts.items()), "size int, total long")
-    dealt = sized.join(F.broadcast(totals), "size").withColumn("shard", F.pmod("hash", shards)).drop("total")
+    dealt = marked.join(F.broadcast(totals), "size").withColumn("shard", F.pmod(F.xxhash64("mark"), groups)).drop("total")
     sizes = dealt.groupBy("size", "shard").agg(F.count("*").alias("pieces"))
     before = Window.partitionBy("size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("size", "shard", F.coalesce(F.sum("pieces").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("size", "shard").orderBy("hash")
+    inside = Window.partitionBy("size", "shard").orderBy("mark")
     numbered = dealt.withColumn("turn", F.row_number().over(inside) - 1).join(first, ["size", "shard"])
     numbered = numbered.withColumn("turn", F.col("turn") + F.col("first"))
     # At most a few rows per length, whatever the number of pieces.

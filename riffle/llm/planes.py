@@ -1,8 +1,8 @@
 """Token ids of documents in files of bit or byte planes, and the way back.
 
 Format of a file (numbers little-endian): the magic, a header of five unsigned 32-bit numbers
-(bits per id, plane width, ids per chunk, documents, chunks), the compressed document table (id and
-number of token ids of each document, 64-bit each), the planes of all chunks, the chunk index (number of
+(bits per id, plane width, ids per chunk, documents, chunks), the compressed document table (id,
+number of token ids and whether the id is null of each document, 64-bit each), the planes of all chunks, the chunk index (number of
 ids and the compressed length of each plane, 32-bit each), and last the places of document table and
 index as 64-bit numbers. A chunk holds a fixed number of ids, the last one of a file the rest. Its ids
 are transposed into planes, least significant first, and every plane is compressed by zstandard.
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from riffle.llm import shared, token_ids
 
-MAGIC = b"IDPLANE1"
+MAGIC = b"IDPLANE2"
 _HEADER = struct.Struct("<5I")
 _TAIL = struct.Struct("<4Q")
+#: Bytes of ids that one task writes, and files that one task reads.
+PARTITION, FILES = 16_000_000, 2
 _MANIFEST = "file string, part long, number long, documents long, ids long"
 _ROWS = "file string, position long, doc_id long, start_in_file long, n_tokens long, ids binary"
 
@@ -53,11 +55,11 @@ def bits_needed(vocabulary: int, width: int) -> int:
     return -(-max(1, (vocabulary - 1).bit_length()) // width) * width
 
 
-def encode_file(documents: Iterable[tuple[int, bytes]], bits: int, width: int, chunk: int, level: int) -> bytes:
+def encode_file(documents: Iterable[tuple[int | None, bytes]], bits: int, width: int, chunk: int, level: int) -> bytes:
     """A whole file from (document id, ids as 32-bit bytes)."""
     press = zstandard.ZstdCompressor(level=level)
     documents = list(documents)
-    table = np.array([(d, len(ids) // 4) for d, ids in documents], "<i8").reshape(-1, 2)
+    table = np.array([(d or 0, len(ids) // 4, d is None) for d, ids in documents], "<i8").reshape(-1, 3)
     ids = np.frombuffer(b"".join(x for _, x in documents), "<u4")
     chunks = [ids[i : i + chunk] for i in range(0, len(ids), chunk)]
     head = MAGIC + _HEADER.pack(bits, width, chunk, len(documents), len(chunks))
@@ -83,7 +85,7 @@ class PlaneFile:
         docs_at, docs_size, index_at, index_size = _TAIL.unpack_from(data, len(data) - _TAIL.size)
         self._unpress = zstandard.ZstdDecompressor()
         table = self._unpress.decompress(self._data[docs_at : docs_at + docs_size])
-        self.documents = np.frombuffer(table, "<i8").reshape(-1, 2)
+        self.documents = np.frombuffer(table, "<i8").reshape(-1, 3)
         planes = self.bits // self.width
         self.index = np.frombuffer(self._data[index_at : index_at + index_size], "<u4").reshape(n_chunks, planes + 1)
         sizes = self.index[:, 1:].astype(np.int64).sum(axis=1)
@@ -97,17 +99,17 @@ class PlaneFile:
             at += size
         return from_planes(planes, int(self.index[number, 0]), self.width)
 
-    def __iter__(self) -> Iterator[tuple[int, int, bytes]]:
+    def __iter__(self) -> Iterator[tuple[int | None, int, bytes]]:
         """Document id, place of its first id in the file, its ids as 32-bit bytes."""
         held, held_at, number, start = np.zeros(0, np.uint32), 0, 0, 0
-        for doc_id, n in self.documents.tolist():
+        for doc_id, n, unknown in self.documents.tolist():
             parts = [held[start - held_at : start - held_at + n]]
             while held_at + len(held) < start + n:
                 held_at += len(held)
                 held = self.ids(number)
                 number += 1
                 parts.append(held[: start + n - held_at])
-            yield doc_id, start, np.concatenate(parts).astype("<u4").tobytes()
+            yield None if unknown else doc_id, start, np.concatenate(parts).astype("<u4").tobytes()
             start += n
 
 
@@ -123,21 +125,37 @@ def write(
     file_ids: int = 4_000_000,
     level: int = 3,
 ) -> DataFrame:
-    """Encode the texts, append ``end_id`` to each and write them in ascending order of id to files
+    """Encode the texts, append ``end_id`` to each and write them in ascending order of id, null last, to files
     under ``directory``; returns the manifest, one row per file.
 
-    A null text is empty. Rows without an id are not written, for they have no place in the order.
-    Rows that share an id stay, in order of their text's hash. Further columns are ignored. An empty table gives
-    no files. A task that runs again writes the same files under the same names.
+    A null text is empty. Rows that share an id, or have none, follow each other in order of their ids' hash. Further
+    columns are ignored. An empty table gives no files. Texts are encoded where they are read, and what moves is ids. The name of a file tells the attempt of the task that wrote it; the
+    manifest lists those of the attempts that counted, and only they are read.
     """
     from pyarrow import fs
 
-    rows = docs.filter(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
-    chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    ordered = rows.repartitionByRange(max(1, -(-chars // 16_000_000)), "doc_id", F.xxhash64("text"))
-    ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    narrow = "<u2" if token_ids.encoder(tokenizer).vocabulary <= 2**16 and end_id < 2**16 else "<u4"
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = token_ids.encoder(tokenizer)
+        for batch in batches:
+            held, ids, size = [], batch["doc_id"], 0
+            for found in encode.batch(cell.as_py() for cell in batch["text"]):
+                held.append(found.astype(narrow).tobytes())
+                size += len(held[-1])
+                if size > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([ids[: len(held)], pa.array(held, pa.binary())], ["doc_id", "data"])
+                    held, ids, size = [], ids[len(held) :], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.binary())], ["doc_id", "data"])
+
+    # The mark tells equal rows apart, so that they can be dealt to several files.
+    held = rows.mapInArrow(encoded, "doc_id long, data binary").withColumn("mark", F.monotonically_increasing_id())
+    held = shared.stored(held, "ids")
+    total = held.agg(F.sum(F.octet_length("data") + 4)).first()[0] or 0
+    place = [F.col("doc_id").asc_nulls_last(), F.xxhash64("data"), F.col("mark")]
+    ordered = held.repartitionByRange(max(1, -(-total // PARTITION)), *place).sortWithinPartitions(*place)
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = token_ids.encoder(tokenizer), TaskContext.get().partitionId()
@@ -148,17 +166,15 @@ def write(
         number, waiting, size = 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            name = f"ids-{part:07d}-{number:05d}.planes"
-            attempt = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
-            with system.open_output_stream(attempt) as out:
+            name = f"ids-{part:07d}-{number:05d}-{TaskContext.get().taskAttemptId()}.planes"
+            with system.open_output_stream(f"{root}/{name}") as out:
                 out.write(encode_file(waiting, bits, width, chunk, level))
-            system.move(attempt, f"{root}/{name}")
             row = {"file": [name], "part": [part], "number": [number], "documents": [len(waiting)], "ids": [size // 4]}
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for one, words in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = encode(words.as_py()) + end
+            for one, data in zip(batch["doc_id"].to_pylist(), batch["data"]):
+                ids = np.frombuffer(data.as_buffer(), narrow).astype("<u4").tobytes() + end
                 waiting.append((one, ids))
                 size += len(ids)
                 if size >= 4 * file_ids:
@@ -167,19 +183,22 @@ def write(
         if waiting:
             yield flush()
 
-    return shared.stored(ordered.mapInArrow(files, _MANIFEST), "manifest")
+    return shared.stored(ordered.select("doc_id", "data").mapInArrow(files, _MANIFEST), "manifest")
 
 
-def read(spark, directory: str) -> DataFrame:
-    """``file, position, doc_id, start_in_file, n_tokens, ids`` of every document in the files."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.planes").load(directory)
+def read(manifest: DataFrame, directory: str) -> DataFrame:
+    """``file, position, doc_id, start_in_file, n_tokens, ids`` of every document in the files of the manifest."""
+    from pyarrow import fs
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(directory)
         for batch in batches:
-            for path, data in zip(batch["path"].to_pylist(), batch["content"]):
+            for name in batch["file"].to_pylist():
+                with system.open_input_stream(f"{root}/{name}") as stored:
+                    data = stored.read()
                 held, size = [], 0
-                for position, (one, start, ids) in enumerate(PlaneFile(data.as_buffer().to_pybytes())):
-                    held.append((path.rpartition("/")[2], position, one, start, len(ids) // 4, ids))
+                for position, (one, start, ids) in enumerate(PlaneFile(data)):
+                    held.append((name, position, one, start, len(ids) // 4, ids))
                     size += len(ids)
                     if size > 8_000_000:
                         yield _batch(held)
@@ -187,7 +206,9 @@ def read(spark, directory: str) -> DataFrame:
                 if held:
                     yield _batch(held)
 
-    return found.select("path", "content").mapInArrow(rows, _ROWS)
+    # A file is the work of some seconds, so files are dealt out anew, not by the table that lists them.
+    dealt = manifest.select("file").repartition(max(1, -(-manifest.count() // FILES)), F.xxhash64("file"))
+    return dealt.mapInArrow(rows, _ROWS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import filter_audit, mixing, neighbours, ngram_join, packing, planes, secret_scan, shared, topk, url_rules, warc, weak_quality
+from riffle.llm import filter_audit, mixing, neighbours, ngram_join, packing, planes, secret_scan, shared, token_counts, topk, url_rules, warc, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 # Job parameters of the registered runs.
 SEQUENCE = 2048
+TOKEN_LIMIT = 512
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -78,7 +79,7 @@ def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     cut = packing.cut(docs, tokenizer_file("word_bpe_49k.json"), SEQUENCE)
     pieces = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(shared.stored(pieces, "pieces"), SEQUENCE)
+    return packing.pack(pieces, SEQUENCE)
 
 
 def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +88,10 @@ def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = shared.scratch(spark, "planes")
-    docs = _table(spark, sf_dir, "documents")
-    first = planes.starts(planes.write(docs, directory, tokenizer_file("byte_bpe_50k.json")))
-    found = planes.read(spark, directory)
+    manifest = planes.write(_table(spark, sf_dir, "documents"), directory, tokenizer_file("byte_bpe_50k.json"))
+    found = planes.read(manifest, directory)
     found = found.select("file", "doc_id", "start_in_file", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    placed = found.join(first, "file").withColumn("start", F.col("first") + F.col("start_in_file"))
+    placed = found.join(planes.starts(manifest), "file").withColumn("start", F.col("first") + F.col("start_in_file"))
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -114,6 +114,11 @@ def op10_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
 
 
+def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.index(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -131,4 +136,5 @@ def registered() -> dict[str, Query]:
         "op9_pivotal_mix": op9_pivotal_mix,
         "op10_int8_neighbours": op10_int8_neighbours,
         "op11_filter_shapley": op11_filter_shapley,
+        "op13_prefix_counts": op13_prefix_counts,
     }

@@ -15,7 +15,7 @@ SCHEMA = "doc_id long, text string, ids string, size int, length int"
 BYTE, WORD = (queries.tokenizer_file(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 TEXTS = [
     "", None, " ", "a", "The the  end.\n\n It's 12 o'clock, WE'LL\tgo $$$ now", "naïve Ünïcode ß", "日本語 text 😀", "x" * 3000,
-    "word " * 5000, "ends with space ", "<|endoftext|>", "line\r\nline", "\x00\x01 control", "e\u0301 combining", "İ K ſ",
+    "word " * 5000, "ends with space ", "<|endoftext|>", "a  <|endoftext|> b<|endoftext|", "<|startoftext|>X", "line\r\nline", "\x00\x01 control", "e\u0301 combining", "İ K ſ",
 ]
 
 
@@ -25,16 +25,32 @@ def documents(spark, texts=TEXTS):
 
 def encoded(path, text, end=0):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
 
+ALPHABET = [*"aBt's \n\t\r.,!19ÉßÀé日😀'd'llmvre$   ", "\u3000", "\u0301", "٠", "½", "ǅ", "\u200b", "\u180e", "\x85", "\x1c", "<|endoftext|>", "<|", "|>"]
+
+
+def odd_texts(n, length, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, length))) for _ in range(n)]
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoder_equals_the_library(path):
-    encode, rng = token_ids.Encoder(path), random.Random(3)
-    alphabet = "aBt's \n\t\r.,!19ÉßÀé日😀'd'llmvre$   "
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
-    assert [encode(t) for t in texts] == [encode.whole(t) for t in texts]
+    encode, library = token_ids.Encoder(path), Tokenizer.from_file(path)
+    every = ["a" + chr(i) + " 1" + chr(i) * 2 + " !" + chr(i) + "\n" + chr(i) for i in range(0, 0x3000, 11)]
+    texts = [t or "" for t in TEXTS] + odd_texts(3000, 40, 3) + every
+    assert [x.tolist() for x in encode.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_long_texts_are_encoded_whole(path, monkeypatch):
+    monkeypatch.setattr(token_ids, "LONG", 50)
+    monkeypatch.setattr(token_ids, "REMEMBERED", 20)
+    encode, library = token_ids.Encoder(path), Tokenizer.from_file(path)
+    texts = odd_texts(100, 400, 4)
+    assert [x.tolist() for x in encode.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("width", [1, 8])
@@ -48,18 +64,22 @@ def test_planes_round_trip(width, n):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 50256), max_size=40), max_size=12), st.sampled_from([1, 8]), st.integers(1, 50))
 def test_file_round_trip(documents, width, chunk):
-    rows = [(i, np.array(d, "<u4").tobytes()) for i, d in enumerate(documents)]
+    rows = [(i if i % 3 else None, np.array(d, "<u4").tobytes()) for i, d in enumerate(documents)]
     read = planes.PlaneFile(planes.encode_file(rows, 16, width, chunk, 3))
     assert [(d, ids) for d, _, ids in read] == rows
     assert [s for _, s, _ in read] == [sum(map(len, documents[:i])) for i in range(len(documents))]
 
 
 @pytest.mark.parametrize("width", [1, 8])
-def test_files_hold_all_ids_in_order(spark, width):
+def test_files_hold_all_ids_in_order(spark, width, monkeypatch):
+    monkeypatch.setattr(planes, "PARTITION", 3000)
     directory = shared.scratch(spark, "planes")
-    docs = documents(spark).unionByName(spark.createDataFrame([(None, "no id", "x", 1, 2), (3, "same id", "x", 1, 2)], SCHEMA))
+    more = [(None, "no id", "x", 1, 2), (None, "no id", "x", 1, 2), (None, None, "x", 1, 2), (3, "same id", "x", 1, 2)]
+    docs = documents(spark).unionByName(spark.createDataFrame(more, SCHEMA))
     manifest = planes.write(docs, directory, BYTE, width=width, chunk=100, file_ids=900)
-    rows = planes.read(spark, directory).join(planes.starts(manifest), "file").collect()
+    # What an attempt that did not count has left behind is not read.
+    open(f"{directory.removeprefix('file:')}/ids-0000000-00000-9999.planes", "wb").close()
+    rows = planes.read(manifest, directory).join(planes.starts(manifest), "file").collect()
     rows = sorted(rows, key=lambda r: r["first"] + r["start_in_file"])
     want = {i * 3: encoded(BYTE, t) for i, t in enumerate(TEXTS)}
     seen, start = defaultdict(list), 0
@@ -67,12 +87,23 @@ def test_files_hold_all_ids_in_order(spark, width):
         assert r["first"] + r["start_in_file"] == start and len(r["ids"]) == 4 * r["n_tokens"]
         seen[r["doc_id"]].append(np.frombuffer(r["ids"], "<u4").tolist())
         start += r["n_tokens"]
-    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+    order = [r["doc_id"] for r in rows]
+    assert order == sorted(order[:-3]) + [None] * 3
+    assert sorted(seen.pop(None)) == sorted([encoded(BYTE, "no id"), encoded(BYTE, "no id"), encoded(BYTE, "")])
     assert sorted(map(tuple, seen.pop(3))) == sorted([tuple(want.pop(3)), tuple(encoded(BYTE, "same id"))])
     assert {d: x[0] for d, x in seen.items()} == want
     assert manifest.count() > 1
 
 
+def test_equal_rows_are_dealt_to_several_files(spark, monkeypatch):
+    monkeypatch.setattr(planes, "PARTITION", 2000)
+    directory = shared.scratch(spark, "planes")
+    docs = spark.createDataFrame([(7, "the same words again and again")] * 900, "doc_id long, text string").repartition(4)
+    manifest = planes.write(docs, directory, BYTE)
+    assert planes.read(manifest, directory).count() == 900
+    assert max(r["documents"] for r in manifest.collect()) < 300
+
+
 def test_no_documents_no_files(spark):
     directory = shared.scratch(spark, "planes")
     assert planes.write(spark.createDataFrame([], SCHEMA), directory, BYTE).count() == 0
@@ -90,7 +121,7 @@ def check_packed(rows, capacity):
 
 
 def test_documents_are_cut_and_packed(spark):
-    pieces = packing.cut(documents(spark), WORD, 64).cache()
+    pieces = shared.stored(packing.cut(documents(spark), WORD, 64), "cut")
     whole = defaultdict(dict)
     for r in pieces.collect():
         assert r["length"] == len(r["ids"]) // 4 and r["start"] == 64 * r["piece"]
@@ -144,6 +175,12 @@ def test_repeated_pieces_and_empty_tables(spark):
     assert packing.pack(spark.createDataFrame([], schema), 100).count() == 0
 
 
+def test_equal_pieces_are_dealt_to_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 100)
+    rows = packing.pack(spark.createDataFrame([(1, 30)] * 1000, "doc_id long, length int"), 100).collect()
+    assert check_packed(rows, 100) == 334 and len(rows) == 1000
+
+
 @pytest.mark.parametrize("bad", [None, 0, 101])
 def test_impossible_lengths_are_an_error(spark, bad):
     with pytest.raises(ValueError):
