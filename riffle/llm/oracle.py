@@ -90,10 +90,50 @@ FROM told
 """
 
 
+_OP12 = r"""
+WITH crc AS (
+  SELECT c, xor(list_reduce(
+    list_concat([4294967295], flatten([list_concat([ord(x)], [-1, -1, -1, -1, -1, -1, -1, -1]) FOR x IN string_split(CAST(c AS VARCHAR), '')])),
+    lambda acc, y: CASE WHEN y >= 0 THEN xor(acc, y) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END
+  ), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)
+), held AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+         ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT crc.c, list_concat(coalesce(lead.turns[1:h], []), own.turns[h + 1:]) AS turns
+  FROM crc JOIN held own ON own.c = crc.c LEFT JOIN held lead ON lead.c = crc.c - crc.c % 20
+), steps AS (
+  SELECT c, d, turns[1:d] AS prefix, len(turns) AS n FROM rebuilt, unnest(range(0, len(turns) + 1)) AS u(d)
+), nodes AS (
+  SELECT d, prefix, min(c) AS node, count(*) AS n_convs,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(prefix[d].text, '[^\x20\x09-\x0D]+')) END AS words,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM steps GROUP BY d, prefix
+), parents AS (
+  SELECT nodes.*, up.node AS parent FROM nodes LEFT JOIN nodes up ON up.d = nodes.d - 1 AND up.prefix = nodes.prefix[1:nodes.d - 1]
+), children AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM parents WHERE d > 0 GROUP BY ALL),
+known AS (
+  SELECT parents.d, parents.node, parent, n_convs, words, ends_sha256, coalesce(n_children, 0) AS n_children
+  FROM parents LEFT JOIN children ON children.d = parents.d AND children.node = parents.node
+), walk AS (
+  SELECT s.c, s.d, m.node FROM steps s JOIN nodes m ON m.d = s.d AND m.prefix = s.prefix
+), sums AS (
+  SELECT w.d, w.node, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, sum((k.n_convs - 1) * k.words) AS saved
+  FROM known k JOIN walk w ON w.c = k.node AND w.d <= k.d GROUP BY w.d, w.node
+)
+SELECT k.node AS conv_id, CAST(k.d AS BIGINT) AS depth, k.parent AS parent_conv_id, k.n_convs,
+       CAST(k.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known k JOIN sums s ON s.d = k.d AND s.node = k.node
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_bit_sliced_topk": _OP1,
         "op7_warc_transactions": _OP7,
         "op10_int8_neighbours": _OP10,
         "op11_filter_shapley": _OP11,
+        "op12_conversation_trie": _OP12,
     }

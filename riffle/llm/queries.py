@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import filter_audit, mixing, neighbours, ngram_join, packing, planes, secret_scan, shared, token_counts, topk, url_rules, warc, weak_quality
+from riffle.llm import filter_audit, mixing, neighbours, ngram_join, packing, planes, prefix_trie, secret_scan, shared, token_counts, topk, url_rules, warc, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,15 +114,19 @@ def op10_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
 
 
+def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.index(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_audit.audit_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-
-
 def registered() -> dict[str, Query]:
     return {
         "op1_bit_sliced_topk": op1_bit_sliced_topk,
@@ -136,5 +140,6 @@ def registered() -> dict[str, Query]:
         "op9_pivotal_mix": op9_pivotal_mix,
         "op10_int8_neighbours": op10_int8_neighbours,
         "op11_filter_shapley": op11_filter_shapley,
+        "op12_conversation_trie": op12_conversation_trie,
         "op13_prefix_counts": op13_prefix_counts,
     }
