@@ -6,9 +6,11 @@ their frequencies back. Ordered rarest first, a document can only be similar to
 its prefix, so n-grams that no other document holds cost nothing, and a document with too many
 of them is done. Prefix postings meet by n-gram under length, positional and suffix filters.
 
-Groups of similar documents are not expanded into pairs: in rounds, each document is verified against one leader of
-its postings lists, and lists whose documents are all connected drop out. What few pairs between
-different components are left are then verified, each once, so that no link is lost.
+Groups of similar documents are not expanded into pairs: in rounds, each document is verified against the leader of
+each of its postings lists, at most a pair per posting, and lists whose documents are all connected drop out. What pairs
+between different components are left are then verified, each once, so that no link is lost.
+
+Rows are told apart by marks of their own, so ids may be repeated or missing.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riffle.llm import shared
@@ -32,7 +34,7 @@ BLOCK, RANGE = 600_000, 1_000_000
 _SHORT = 40
 _CLASSES = 8
 _TAIL = [f"c{i}" for i in range(_CLASSES)]
-_SETS = "doc_id long, n int, alone int, grams binary"
+_SETS = "mark long, n int, alone int, grams binary"
 
 
 _CHUNK = 2**18
@@ -105,30 +107,35 @@ def prefix(n: int) -> int:
     return n - -(-PARTS * n // WHOLE) + 1
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, key`` per row: number of n-grams and a digest of the set (null if empty)."""
+def marked(docs: DataFrame, doc_id: str, text: str, keep_rows: bool) -> DataFrame:
+    """``mark, doc_id, body`` of every row, written once, since a mark must mean the same row in all that follows; with
+    ``row`` for all columns of ``docs``."""
+    columns = [F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")).alias("body")]
+    if keep_rows:
+        columns.append(F.struct(*docs.columns).alias("row"))
+    return shared.stored(docs.select(F.monotonically_increasing_id().alias("mark"), *columns), "marked")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sizes(rows: DataFrame) -> DataFrame:
+    """``mark, doc_id, n, key`` per row: number of n-grams and a digest of the set (null if empty)."""
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [grams(text) for text in (cell.as_py() for cell in batch["body"])]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            counts = pa.array(map(len, sets), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], counts, pa.array(keys, pa.binary())], ["doc_id", "n", "key"])
+            counts, keys = [], []
+            for cell in batch["body"]:
+                own = grams(cell.as_py())
+                counts.append(len(own))
+                keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+            columns = [batch["mark"], batch["doc_id"], pa.array(counts, pa.int32()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["mark", "doc_id", "n", "key"])
 
-    return docs.select("doc_id", "body").mapInArrow(rows, "doc_id long, n int, key binary")
+    return rows.select("mark", "doc_id", "body").mapInArrow(sized, "mark long, doc_id long, n int, key binary")
 
 
 def _block_sets(texts: pa.Table, wanted: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Sets of the documents that stand for a class, repeated rows once."""
-    found, seen, ids = [], set(), set(wanted.tolist())
-    for doc_id, body in zip(texts["doc_id"].to_pylist(), texts["body"]):
-        if doc_id in ids:
-            own = grams(body.as_py())
-            key = doc_id, xxhash.xxh3_128_digest(own.tobytes())
-            if len(own) and key not in seen:
-                seen.add(key)
-                found.append((doc_id, own))
-    return found
+    """Sets of the rows that stand for a class."""
+    chosen = texts.filter(pa.compute.is_in(texts["mark"], pa.array(wanted, pa.int64())))
+    return [(mark, grams(body.as_py())) for mark, body in zip(chosen["mark"].to_pylist(), chosen["body"])]
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
@@ -151,7 +158,7 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
 def _runs(ranges: int):
     def runs(texts: pa.Table, chosen: pa.Table) -> pa.Table:
         rows = {"range": [], "of_block": [], "steps": [], "counts": []}
-        sets = _block_sets(texts, chosen["rep_id"].to_numpy()) if chosen.num_rows and texts.num_rows else []
+        sets = _block_sets(texts, chosen["chosen"].to_numpy()) if chosen.num_rows and texts.num_rows else []
         if sets:
             block = chosen["block"][0].as_py()
             values, counts = np.unique(np.concatenate([_short(s) for _, s in sets]), return_counts=True)
@@ -178,16 +185,16 @@ def _frequencies(part: pa.Table) -> pa.Table:
     ends = np.cumsum([len(s) for s in steps])
     codes = [code[e - len(s) : e].tobytes() for s, e in zip(steps, ends)]
     return pa.table(
-        {"block": part["of_block"], "rep_id": pa.nulls(len(codes), pa.int64()), "range": part["range"], "codes": pa.array(codes, pa.binary())}
+        {"block": part["of_block"], "chosen": pa.nulls(len(codes), pa.int64()), "range": part["range"], "codes": pa.array(codes, pa.binary())}
     )
 
 
 def _ordered(texts: pa.Table, side: pa.Table) -> pa.Table:
     """Documents that may have a partner, with the n-grams that others share, rarest first."""
-    ids = side["rep_id"].drop_null().to_numpy()
+    chosen = side["chosen"].drop_null().to_numpy()
     rows, sets = [], []
-    if texts.num_rows and len(ids):
-        sets = _block_sets(texts, ids)
+    if texts.num_rows and len(chosen):
+        sets = _block_sets(texts, chosen)
     if sets:
         replies = side.filter(pa.compute.is_valid(side["range"])).sort_by("range")
         codes = np.frombuffer(b"".join(replies["codes"].to_pylist()), np.uint8)
@@ -195,57 +202,57 @@ def _ordered(texts: pa.Table, side: pa.Table) -> pa.Table:
         if len(values) != len(codes):
             raise ValueError("frequencies do not belong to this block")
         each = np.split(codes[place], np.cumsum([len(own) for _, own in sets])[:-1])
-        for (doc_id, own), code in zip(sets, each):
+        for (mark, own), code in zip(sets, each):
             held = code > 0
             alone = len(own) - int(np.count_nonzero(held))
             if alone < prefix(len(own)):
                 shared_grams = own[held]
                 order = np.lexsort((shared_grams, code[held]))
-                rows.append((doc_id, len(own), alone, shared_grams[order].tobytes()))
+                rows.append((mark, len(own), alone, shared_grams[order].tobytes()))
     columns = zip(*rows) if rows else ((), (), (), ())
     types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n", "alone", "grams"])
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["mark", "n", "alone", "grams"])
 
 
-def ordered_sets(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
-    """``doc_id, n, alone, grams`` of the representatives that may be similar to another.
+def ordered_sets(rows: DataFrame, chosen: DataFrame, total: int, distinct: int) -> DataFrame:
+    """``mark, n, alone, grams`` of the ``chosen`` rows that may be similar to another.
 
-    ``total`` is the number of n-grams of all of them.
+    Blocks are cut by ``total``, the number of n-grams of all rows, for the texts of all meet there; ranges of the hash
+    space by ``distinct``, that of the chosen rows.
     """
-    blocks, ranges = max(1, -(-total // BLOCK)), max(1, -(-total // RANGE))
-    texts = docs.select("doc_id", "body", shared.bucket("doc_id", blocks, 8).alias("text_block"))
-    chosen = reps.select(F.col("rep").alias("rep_id"), shared.bucket("rep", blocks, 8).alias("block"))
-    sent = texts.groupBy("text_block").cogroup(chosen.groupBy("block"))
+    blocks, ranges = max(1, -(-total // BLOCK)), max(1, -(-distinct // RANGE))
+    texts = rows.select("mark", "body", shared.bucket("mark", blocks, 8).alias("text_block"))
+    asked = chosen.select(F.col("mark").alias("chosen"), shared.bucket("mark", blocks, 8).alias("block"))
+    sent = texts.groupBy("text_block").cogroup(asked.groupBy("block"))
     runs = sent.applyInArrow(_runs(ranges), "range int, of_block int, steps binary, counts binary")
-    replies = runs.groupBy("range").applyInArrow(_frequencies, "block int, rep_id long, range int, codes binary")
+    replies = runs.groupBy("range").applyInArrow(_frequencies, "block int, chosen long, range int, codes binary")
     nothing = F.lit(None)
-    asked = chosen.select("block", "rep_id", nothing.cast("int").alias("range"), nothing.cast("binary").alias("codes"))
-    side = replies.unionByName(asked)
-    return texts.groupBy("text_block").cogroup(side.groupBy("block")).applyInArrow(_ordered, _SETS)
+    side = asked.select("block", "chosen", nothing.cast("int").alias("range"), nothing.cast("binary").alias("codes"))
+    return texts.groupBy("text_block").cogroup(replies.unionByName(side).groupBy("block")).applyInArrow(_ordered, _SETS)
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """``gram, doc_id, n, pos, c0 ...``: each prefix n-gram with its place in the order and how many n-grams of each
+    """``gram, mark, n, pos, c0 ...``: each prefix n-gram with its place in the order and how many n-grams of each
     class of hashes come after it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
-            for doc_id, n, alone, data in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "alone", "grams"))):
+            for mark, n, alone, data in zip(*(batch[c].to_pylist() for c in ("mark", "n", "alone", "grams"))):
                 own = np.frombuffer(data, np.uint64)
                 k = prefix(n) - alone
                 kind = (own & np.uint64(_CLASSES - 1)).astype(np.int64)
                 seen = np.cumsum(kind[:, None] == np.arange(_CLASSES), axis=0)
                 after = (seen[-1] - seen)[:k].astype(np.int32)
                 first = own[:k].astype(np.int64)
-                held.append((first, np.full(k, doc_id), np.full(k, n, np.int32), (alone + np.arange(k)).astype(np.int32), after))
+                held.append((first, np.full(k, mark), np.full(k, n, np.int32), (alone + np.arange(k)).astype(np.int32), after))
             if held:
                 gram, doc, n, pos, after = (np.concatenate(x) for x in zip(*held))
                 columns = [gram, doc, n, pos, *after.T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["gram", "doc_id", "n", "pos", *_TAIL])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["gram", "mark", "n", "pos", *_TAIL])
 
     tail = ", ".join(f"{c} int" for c in _TAIL)
-    return sets.mapInArrow(rows, f"gram long, doc_id long, n int, pos int, {tail}")
+    return sets.mapInArrow(rows, f"gram long, mark long, n int, pos int, {tail}")
 
 
 def _may_link(a: str, b: str) -> str:
@@ -261,27 +268,27 @@ def _may_link(a: str, b: str) -> str:
     return f"{length} AND {place} AND {suffix}"
 
 
-#: Members that one task compares with a leader.
-_TOGETHER = 200
+#: Members that one task compares with a leader, rows of a list that are compared with each other, and rounds of leaders.
+_TOGETHER, _LIST, _ROUNDS = 200, 1000, 12
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``x, y, linked`` of each pair, compared exactly. Pairs meet at y, of which popular ones are split."""
     often = pairs.groupBy("y").agg(F.ceil(F.count("*") / _TOGETHER).cast("int").alias("parts"))
     dealt = pairs.join(often, "y").withColumn("part", shared.bucket("x", 2**30, 3) % F.col("parts"))
-    members = dealt.select("y", "part", F.col("x").alias("doc_id"))
-    leaders = often.select("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("y").alias("doc_id"))
-    rows = members.unionByName(leaders).join(sets.select("doc_id", "n", "grams"), "doc_id")
+    members = dealt.select("y", "part", F.col("x").alias("mark"))
+    leaders = often.select("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("y").alias("mark"))
+    rows = members.unionByName(leaders).join(sets.select("mark", "n", "grams"), "mark")
 
     def compare(part: pa.Table) -> pa.Table:
-        y, ids = part["y"][0].as_py(), part["doc_id"].to_pylist()
-        held = list(zip(ids, part["n"].to_pylist(), (np.sort(np.frombuffer(g, np.uint64)) for g in part["grams"].to_pylist())))
-        leading, linked = [(n, own) for doc_id, n, own in held if doc_id == y], {}
-        for doc_id, n, own in held:
-            if doc_id != y:
-                linked[doc_id] = linked.get(doc_id, False) or any(
-                    (PARTS + WHOLE) * len(np.intersect1d(own, other, assume_unique=True)) >= PARTS * (n + m) for m, other in leading
-                )
+        y, marks = part["y"][0].as_py(), part["mark"].to_pylist()
+        held = list(zip(marks, part["n"].to_pylist(), (np.sort(np.frombuffer(g, np.uint64)) for g in part["grams"].to_pylist())))
+        m, other = next((n, own) for mark, n, own in held if mark == y)
+        linked = {
+            mark: (PARTS + WHOLE) * len(np.intersect1d(own, other, assume_unique=True)) >= PARTS * (n + m)
+            for mark, n, own in held
+            if mark != y
+        }
         columns = [pa.array(linked.keys(), pa.int64()), pa.array([y] * len(linked), pa.int64()), pa.array(linked.values(), pa.bool_())]
         return pa.table(columns, ["x", "y", "linked"])
 
@@ -309,74 +316,104 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _relabel(labelled: DataFrame, links: DataFrame) -> DataFrame:
-    """``doc_id, comp`` after linking the components of ``x`` and ``y``."""
-    of = labelled.select(F.col("doc_id").alias("x"), F.col("comp").alias("a"))
-    ends = links.join(of, "x").join(of.select(F.col("x").alias("y"), F.col("a").alias("b")), "y").select("a", "b")
-    merged = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
-    return labelled.join(merged, "comp", "left").select("doc_id", F.coalesce("into", "comp").alias("comp"))
-
-
-def links(sets: DataFrame, rounds: int = 12) -> DataFrame:
-    """``doc_id, comp`` of the documents that some similar one links, comp being the smallest id of their component."""
-    lists = shared.stored(postings(sets).withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")), "postings")
-    labelled = shared.stored(sets.select("doc_id", F.col("doc_id").alias("comp")).distinct(), "components")
-    done, fruitful = None, True
-    for turn in range(rounds + 1):
-        current = lists.join(labelled, "doc_id")
-        per_comp = current.groupBy("gram", "comp").agg(F.count("*").alias("m"))
-        spread = per_comp.groupBy("gram").agg(F.sum("m").alias("all"), F.expr("sum(m * m)").alias("same"), F.count("*").alias("comps"))
-        mixed = spread.filter("comps > 1")
+def _merged(found: DataFrame) -> DataFrame:
+    """``comp, into`` from links of components ``a, b``: each moves to the smallest it links, and on to where that one moves.
+
+    What moves together is connected; not all that is connected moves together yet.
+    """
+    both = found.select("a", "b").union(found.select("b", "a"))
+    moves = both.groupBy(F.col("a").alias("comp")).agg(F.min("b").alias("near")).select("comp", F.least("comp", "near").alias("into"))
+    on = moves.select(F.col("comp").alias("into"), F.col("into").alias("beyond"))
+    return moves.join(on, "into", "left").select("comp", F.coalesce("beyond", "into").alias("into"))
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """``x, y``: links that connect all that is connected by any links."""
+    spark = sets.sparkSession
+    lists = postings(sets).withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    lists = shared.stored(lists.withColumn("comp", F.col("mark")), "postings")
+    found, done = [], None
+    for turn in range(_ROUNDS + 1):
+        spread = lists.groupBy("gram", "comp").agg(F.count("*").alias("m")).groupBy("gram").agg(
+            F.sum("m").alias("all"), F.expr("sum(m * m)").alias("same"), F.count("*").alias("comps")
+        )
         # Only lists that still join different components matter from here on.
-        lists = shared.stored(lists.join(mixed.select("gram"), "gram", "left_semi"), "postings")
+        mixed = shared.stored(spread.filter("comps > 1"), "mixed")
         left = mixed.agg(F.sum(F.expr("(all * all - same) div 2")), F.sum("all")).first()
         if not left[0]:
             break
-        current = lists.join(labelled, "doc_id")
-        # Leaders pay while they link many; after that all that is left is compared.
-        final = turn == rounds or not fruitful or left[0] <= 3 * left[1]
-        pairs = (_all_pairs if final else _star_pairs)(current, turn)
+        current = lists.join(mixed.select("gram", "all"), "gram")
+        final = turn == _ROUNDS or left[0] <= 3 * left[1]
+        pairs = _all_pairs(current) if final else _star_pairs(current, turn)
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         compared = shared.stored(verify(shared.stored(pairs, "pairs"), sets), "compared")
-        both_ways = compared.select("x", "y").union(compared.select("y", "x"))
-        done = both_ways if done is None else done.union(both_ways)
-        found = compared.filter("linked").select("x", "y")
-        asked, linked = compared.agg(F.count("*"), F.count_if("linked")).first()
-        fruitful = 10 * linked >= max(1, asked)
-        if linked:
-            labelled = shared.stored(_relabel(labelled, found), "components")
+        linked = compared.filter("linked").select("x", "y")
+        found.append(linked)
         if final:
             break
-    return labelled
+        both_ways = compared.select("x", "y").union(compared.select("y", "x"))
+        done = both_ways if done is None else done.union(both_ways)
+        label = shared.stored(current.select("mark", "comp").distinct(), "members")
+        a, b = (label.select(F.col("mark").alias(end), F.col("comp").alias(name)) for end, name in (("x", "a"), ("y", "b")))
+        merged = _merged(linked.join(a, "x").join(b, "y").filter("a <> b"))
+        moved = label.join(merged, "comp").select("mark", "into")
+        lists = current.drop("all").join(moved, "mark", "left")
+        lists = shared.stored(lists.withColumn("comp", F.coalesce("into", "comp")).drop("into"), "postings")
+    if not found:
+        return spark.createDataFrame([], "x long, y long")
+    result = found[0]
+    for more in found[1:]:
+        result = result.union(more)
+    return result
 
 
 def _star_pairs(current: DataFrame, turn: int) -> DataFrame:
-    """For each document one leader of another component, the same for as many documents as possible."""
-    turned = F.xxhash64("doc_id", F.lit(turn))
-    lead = F.struct("doc_id", "comp", "n", "pos", *_TAIL)
-    leaders = current.groupBy("gram", "size_class").agg(F.min_by(lead, turned).alias("lead"))
-    met = current.alias("a").join(leaders, ["gram", "size_class"]).filter(
-        f"a.comp <> lead.comp AND {_may_link('a', 'lead')}"
-    )
-    y = F.col("lead.doc_id")
-    return met.groupBy(F.col("a.doc_id").alias("x")).agg(F.min_by(y, F.xxhash64(y, F.lit(turn))).alias("y"))
-
+    """Each document with the leader of each of its lists, where that is of another component and passes the filters."""
+    turned = F.xxhash64("mark", F.lit(turn))
+    own = ("mark", "comp", "n", "pos", *_TAIL)
+    leaders = current.groupBy("gram", "size_class").agg(*[F.min_by(c, turned).alias(f"lead_{c}") for c in own])
+    leaders = leaders.select("gram", "size_class", F.struct(*[F.col(f"lead_{c}").alias(c) for c in own]).alias("lead"))
+    met = current.alias("a").join(leaders, ["gram", "size_class"]).filter(f"a.comp <> lead.comp AND {_may_link('a', 'lead')}")
+    return met.select(
+        F.expr("greatest(a.mark, lead.mark) AS x"), F.expr("least(a.mark, lead.mark) AS y")
+    ).distinct()
 
-def _all_pairs(current: DataFrame, turn: int) -> DataFrame:
-    """Every pair of different components that passes the filters, once.
 
-    Within a list only the documents outside its largest component look for partners.
-    """
-    per_comp = current.groupBy("gram", "comp").agg(F.count("*").alias("m"))
-    largest = per_comp.groupBy("gram").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    asking = current.join(largest, "gram").filter("comp <> main").drop("main")
-    met = asking.alias("a").join(
-        current.alias("b"), F.expr(f"a.gram = b.gram AND a.comp <> b.comp AND {_may_link('a', 'b')}")
+def _all_pairs(current: DataFrame) -> DataFrame:
+    """Every pair of different components that passes the filters, once. A long list is cut into parts, and parts meet in pairs."""
+    parts = F.ceil(F.col("all") / _LIST).cast("int")
+    dealt = current.withColumn("parts", parts).withColumn("part", shared.bucket("mark", 2**30, 4) % F.col("parts"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    sides = dealt.withColumn("other", others)
+    first = sides.withColumns({"i": F.col("part"), "j": F.col("other")}).filter("i <= j")
+    second = sides.withColumns({"i": F.col("other"), "j": F.col("part")}).filter("i <= j")
+    met = first.alias("a").join(
+        second.alias("b"),
+        F.expr(
+            "a.gram = b.gram AND a.i = b.i AND a.j = b.j AND a.comp <> b.comp AND (a.i < a.j OR a.mark < b.mark) "
+            f"AND {_may_link('a', 'b')}"
+        ),
     )
-    return met.select(
-        F.expr("greatest(a.doc_id, b.doc_id) AS x"), F.expr("least(a.doc_id, b.doc_id) AS y")
-    ).distinct()
+    return met.select(F.expr("greatest(a.mark, b.mark) AS x"), F.expr("least(a.mark, b.mark) AS y")).distinct()
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """``mark, doc_id, n, component, component_id`` per row of ``marked``; ``component`` is null without n-grams."""
+    sized = shared.stored(sizes(rows), "sizes")
+    keyed = sized.filter("n > 0")
+    classes = keyed.groupBy("key").agg(F.min("mark").alias("chosen"), F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = shared.stored(classes, "classes")
+    distinct = classes.agg(F.sum("n")).first()[0] or 0
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    sets = shared.stored(ordered_sets(rows, classes.select(F.col("chosen").alias("mark")), total, distinct), "sets")
+    labelled = components(links(sets).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    placed = classes.join(labelled, F.col("chosen") == F.col("node"), "left")
+    placed = placed.select("key", "rep", F.coalesce("comp", "chosen").alias("component"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = placed.select("key", "component").join(least, "component")
+    joined = sized.join(known, "key", "left")
+    return joined.select("mark", "doc_id", "n", "component", F.coalesce("component_id", F.when(F.col("component").isNull(), F.col("doc_id"))).alias("component_id"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -385,32 +422,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     Words are runs of characters other than ASCII white space, A-Z in lower case; n-grams have five words, and a
     shorter text is one n-gram. Two documents link from a Jaccard similarity of 0.8 on; component_id is the smallest id
     that links reach, the own one included. A null or empty text has no n-grams and no links. Repeated rows
-    are documents with equal sets; rows that share an id but not the text count as one document. A row without an id gets the
-    component of an equal set that has one, else null. Further columns are ignored; an empty table gives an empty result.
+    are documents with equal sets; rows that share an id but not the text are different documents. A row without an id gets the
+    smallest id of its component, or null if none has one. Further columns are ignored; an empty table gives an empty result.
     Sets are compared by 64-bit hashes of their n-grams.
     """
-    body = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"))
-    rows = shared.stored(sizes(read), "sizes")
-    keyed = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = shared.stored(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    total = reps.agg(F.sum("n")).first()[0] or 0
-    sets = shared.stored(ordered_sets(read.filter("doc_id IS NOT NULL"), reps.select("rep").distinct(), total), "sets")
-    labelled = links(sets).select(F.col("doc_id").alias("rep"), "comp")
-    classes = reps.join(labelled, "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
-    joined = rows.join(classes, "key", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, joined: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row per component of ``joined``, that of its smallest id; of rows that share the id the one with the least hash.
-
-    Rows without an id stay, since nothing tells them apart.
-    """
-    kept = joined.filter("doc_id = component_id")
-    own = docs.columns
-    rows = docs.select(F.struct(*own).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(*own).alias("hash"))
-    ids = kept.select(F.col("doc_id").alias("kept")).distinct()
-    known = rows.filter("id IS NOT NULL").join(ids, F.col("id") == F.col("kept"), "left_semi")
-    first = known.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("hash"))).filter("turn = 1")
-    return first.select("row.*").unionByName(rows.filter("id IS NULL").select("row.*"))
+    joined = _joined(marked(docs, doc_id, text, keep_rows=False))
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of similar documents, that of the smallest id (rows without an id come last), and all rows
+    without n-grams. Ids may be repeated or missing: rows with different texts under one id are different documents.
+    Columns are those of ``docs``."""
+    rows = marked(docs, doc_id, text, keep_rows=True)
+    joined = shared.stored(_joined(rows), "joined")
+    grouped = joined.filter("component IS NOT NULL").groupBy("component")
+    chosen = grouped.agg(F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("mark"))
+    kept = chosen.select("mark").unionByName(joined.filter("component IS NULL").select("mark"))
+    return rows.select("mark", "row").join(kept, "mark", "left_semi").select("row.*")

@@ -129,10 +129,32 @@ FROM known k JOIN sums s ON s.d = k.d AND s.node = k.node
 """
 
 
+_OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+  ) AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS grams FROM w
+), u AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS met FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.met
+)
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id
+FROM s JOIN (SELECT doc_id, min(met) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_bit_sliced_topk": _OP1,
         "op7_warc_transactions": _OP7,
+        "op8_ngram_join": _OP8,
         "op10_int8_neighbours": _OP10,
         "op11_filter_shapley": _OP11,
         "op12_conversation_trie": _OP12,

@@ -100,9 +100,46 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in got) == sorted(
         [(5, 8, 5), (5, 8, 5), (9, 8, 5), (-1, 8, 5), (-1, 3, -1), (-1, 0, -1)]
     )
-    kept = ngram_join.keep_one(df, ngram_join.join(df)).collect()
-    assert sorted(r["doc_id"] or -1 for r in kept) == [-1, -1, -1, 5]
-    assert ngram_join.join(df.limit(0)).count() == 0
+    kept = ngram_join.keep_one(df).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept) == [(-1, ""), (-1, "nobody else has this text at all"), (5, text)]
+    assert ngram_join.keep_one(df).columns == df.columns
+    assert ngram_join.join(df.limit(0)).count() == ngram_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_different_texts_under_one_id_stay_apart(spark):
+    a, b = ("the quick brown fox jumps over the lazy dog", "a clean text that has nothing to do with any fox")
+    df = spark.createDataFrame([(1, a, "k", 1), (1, b, "k", 1), (2, b, "k", 1), (None, a, "k", 1), (None, a, "k", 1)], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect()) == [(1, b), (1, a)]
+
+
+def test_a_table_of_copies_is_spread(spark, monkeypatch):
+    """Blocks are cut by all rows, and equal rows go to different ones."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 1000)
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, "k", 1)] * 600 + [(2, text + " more", "k", 1)], SCHEMA).repartition(4)
+    rows = ngram_join.marked(df, "doc_id", "text", keep_rows=False)
+    blocks = rows.select(ngram_join.shared.bucket("mark", 16, 8).alias("b")).groupBy("b").count().collect()
+    assert len(blocks) == 16 and max(r["count"] for r in blocks) < 100
+    assert sorted(r["component_id"] for r in ngram_join.join(df).collect()) == [1] * 601
+
+
+def test_one_edited_word_each(spark):
+    """Most pairs meet but are not similar; leaders connect what is, so few of them are verified."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        own[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    assert joined(spark, rows) == brute(rows)
+
+
+def test_long_lists_meet_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_LIST", 7)
+    monkeypatch.setattr(ngram_join, "_ROUNDS", 0)
+    rows = corpus(5)
+    assert joined(spark, rows) == brute(rows)
 
 
 def test_components(spark):
