@@ -221,28 +221,21 @@ PARSERS = {"usgs": observed_calls, "bureau_rec": csv_calls, "noaa": forecast_cal
 
 
 def parse_all(payloads: DataFrame) -> DataFrame:
-    """Calls of all sources in one pass: each parser sees the payloads of its own source, and null elsewhere.
+    """Calls of all sources: a branch per parser over the payloads of its own source, so that only the folders of
+    that source are read for it and no parser's expressions meet rows of another.
 
-    ``payloads`` carries ``identifier``, the name the gauge has at that source, and ``registered``; what
-    is not registered is not parsed. A source that has no parser has no readings and null for its data source.
+    ``payloads`` carries ``identifier``, the name the gauge has at that source, and ``registered``; what is not registered, or
+    whose source has no parser, is not parsed, and its payload is not read. It has no readings, and an unknown source null
+    for its data source.
     """
-    parsed = payloads.withColumnRenamed("payload", "body")
-    chosen = {name: None for name in ("rows", "error", "readings")}
-    for source, parser in PARSERS.items():
-        own = F.col("registered") & (F.col("source") == source)
-        parsed = parser(parsed.withColumn("payload", F.when(own, F.col("body"))))
-        for name in chosen:
-            parsed = parsed.withColumnRenamed(name, f"{source}_{name}")
-            earlier = chosen[name]
-            value = F.when(own, F.col(f"{source}_{name}"))
-            chosen[name] = value if earlier is None else F.coalesce(earlier, value)
-    nothing = F.slice(F.col(f"{next(iter(PARSERS))}_readings"), 1, 0)
+    parsed = F.col("registered") & F.coalesce(F.col("source").isin(*PARSERS), F.lit(False))
+    branches = [parser(payloads.filter(F.col("registered") & (F.col("source") == source))) for source, parser in PARSERS.items()]
+    kept = [c for c in payloads.columns if c != "payload"]
+    nothing = {"rows": F.lit(0).cast("bigint"), "error": F.lit(None).cast("string")}
+    readings = {"readings": F.array().cast(branches[0].schema["readings"].dataType)}
+    branches.append(payloads.filter(~parsed).select(*kept).withColumns(nothing | readings))
+    found = branches[0].select(*kept, *nothing, *readings)
+    for branch in branches[1:]:
+        found = found.unionByName(branch.select(*kept, *nothing, *readings))
     kinds = zip(("data_source", "data_type"), zip(*LANDED.values()))
-    return parsed.withColumns(
-        {
-            "rows": F.coalesce(chosen["rows"], F.lit(0).cast("bigint")),
-            "error": chosen["error"],
-            "readings": F.coalesce(chosen["readings"], nothing),
-            **{name: labels.lookup(F.col("source"), dict(zip(LANDED, values))) for name, values in kinds},
-        }
-    ).drop("payload", "body", *[f"{source}_{name}" for source in PARSERS for name in chosen])
+    return found.withColumns({name: labels.lookup(F.col("source"), dict(zip(LANDED, values))) for name, values in kinds})

@@ -132,11 +132,25 @@ def test_routing_follows_the_registry(spark):
     ]
 
 
-def test_payloads_are_scanned_once(spark, tmp_path):
-    land(spark, [("usgs", 2, OBSERVED)]).write.parquet(str(tmp_path / "payloads"))
-    calls = ingest.parse_calls(payloads.read_payload_table(spark, str(tmp_path / "payloads")), dims.gauges(spark))
-    plan = ingest.readings_of(calls)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan parquet") == 1
+def test_each_payload_is_read_for_its_own_parser_only(spark, tmp_path):
+    """A branch per source reads the folder of that source; the branch of what is not parsed reads no payload."""
+    rows = [("usgs", 2, OBSERVED), ("noaa", 1, FORECAST_KCFS), ("bureau_rec", 13, CSV), ("other", 2, "x")]
+    for i, (source, gauge, text) in enumerate(rows):
+        folder = tmp_path / f"source={source}" / f"gauge_id={gauge}"
+        folder.mkdir(parents=True)
+        (folder / f"{i}.txt").write_text(text)
+    calls = ingest.parse_calls(payloads.read_landing(spark, str(tmp_path)), dims.gauges(spark))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = calls._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "FileScan text" in line]
+    with_text = [line for line in scans if "struct<value:string>" in line]
+    assert len(scans) == 4 and len(with_text) == 3
+    for source in ("usgs", "noaa", "bureau_rec"):
+        assert len([line for line in with_text if f"= {source})" in line.split("PartitionFilters")[1]]) == 1
+    found = {r.source: (r.rows, r.error) for r in calls.collect()}
+    assert found.pop("other") == (0, ingest.NOT_REGISTERED)
+    assert all(n > 0 and error is None for n, error in found.values()) and len(found) == 3
 
 
 def test_unknown_observed_source_keeps_the_forecast(spark):
