@@ -25,10 +25,10 @@ from riffle.llm import shared, token_ids
 MAGIC = b"IDPLANE2"
 _HEADER = struct.Struct("<5I")
 _TAIL = struct.Struct("<4Q")
-#: Bytes of ids that one task writes, and files that one task reads.
-PARTITION, FILES = 16_000_000, 2
+#: Bytes of 32-bit ids that one task writes, and files that one task reads.
+PARTITION, FILES = 32_000_000, 2
 _MANIFEST = "file string, part long, number long, documents long, ids long"
-_ROWS = "file string, position long, doc_id long, start_in_file long, n_tokens long, ids binary"
+_ROWS = "file string, position long, doc_id long, start long, n_tokens long, ids binary"
 
 
 def to_planes(ids: np.ndarray, bits: int, width: int) -> np.ndarray:
@@ -135,25 +135,25 @@ def write(
     from pyarrow import fs
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    narrow = "<u2" if token_ids.encoder(tokenizer).vocabulary <= 2**16 and end_id < 2**16 else "<u4"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_ids.encoder(tokenizer)
+        encode, press = token_ids.encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        names = ["doc_id", "n", "data"]
         for batch in batches:
             held, ids, size = [], batch["doc_id"], 0
             for found in encode.batch(cell.as_py() for cell in batch["text"]):
-                held.append(found.astype(narrow).tobytes())
-                size += len(held[-1])
+                held.append((len(found), press.compress(to_planes(found, 32, 8).tobytes())))
+                size += len(held[-1][1])
                 if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([ids[: len(held)], pa.array(held, pa.binary())], ["doc_id", "data"])
+                    yield pa.RecordBatch.from_arrays([ids[: len(held)], *map(pa.array, zip(*held))], names)
                     held, ids, size = [], ids[len(held) :], 0
             if held:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.binary())], ["doc_id", "data"])
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, zip(*held))], names)
 
     # The mark tells equal rows apart, so that they can be dealt to several files.
-    held = rows.mapInArrow(encoded, "doc_id long, data binary").withColumn("mark", F.monotonically_increasing_id())
+    held = rows.mapInArrow(encoded, "doc_id long, n long, data binary").withColumn("mark", F.monotonically_increasing_id())
     held = shared.stored(held, "ids")
-    total = held.agg(F.sum(F.octet_length("data") + 4)).first()[0] or 0
+    total = held.agg(F.sum((F.col("n") + 1) * 4)).first()[0] or 0
     place = [F.col("doc_id").asc_nulls_last(), F.xxhash64("data"), F.col("mark")]
     ordered = held.repartitionByRange(max(1, -(-total // PARTITION)), *place).sortWithinPartitions(*place)
 
@@ -163,7 +163,7 @@ def write(
         system.create_dir(root, recursive=True)
         end = struct.pack("<I", end_id)
         bits = bits_needed(max(encode.vocabulary, end_id + 1), width)
-        number, waiting, size = 0, [], 0
+        number, waiting, size, unpress = 0, [], 0, zstandard.ZstdDecompressor()
 
         def flush() -> pa.RecordBatch:
             name = f"ids-{part:07d}-{number:05d}-{TaskContext.get().taskAttemptId()}.planes"
@@ -174,7 +174,8 @@ def write(
 
         for batch in batches:
             for one, data in zip(batch["doc_id"].to_pylist(), batch["data"]):
-                ids = np.frombuffer(data.as_buffer(), narrow).astype("<u4").tobytes() + end
+                planes = np.frombuffer(unpress.decompress(data.as_buffer()), np.uint8).reshape(4, -1)
+                ids = from_planes(list(planes), planes.shape[1], 8).astype("<u4").tobytes() + end
                 waiting.append((one, ids))
                 size += len(ids)
                 if size >= 4 * file_ids:
@@ -187,18 +188,19 @@ def write(
 
 
 def read(manifest: DataFrame, directory: str) -> DataFrame:
-    """``file, position, doc_id, start_in_file, n_tokens, ids`` of every document in the files of the manifest."""
+    """``file, position, doc_id, start, n_tokens, ids`` of every document in the files of the manifest; ``start`` counts the
+    ids of all documents before it, in this file and those before."""
     from pyarrow import fs
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(directory)
         for batch in batches:
-            for name in batch["file"].to_pylist():
+            for name, first in zip(batch["file"].to_pylist(), batch["first"].to_pylist()):
                 with system.open_input_stream(f"{root}/{name}") as stored:
                     data = stored.read()
                 held, size = [], 0
                 for position, (one, start, ids) in enumerate(PlaneFile(data)):
-                    held.append((name, position, one, start, len(ids) // 4, ids))
+                    held.append((name, position, one, first + start, len(ids) // 4, ids))
                     size += len(ids)
                     if size > 8_000_000:
                         yield _batch(held)
@@ -207,7 +209,7 @@ def read(manifest: DataFrame, directory: str) -> DataFrame:
                     yield _batch(held)
 
     # A file is the work of some seconds, so files are dealt out anew, not by the table that lists them.
-    dealt = manifest.select("file").repartition(max(1, -(-manifest.count() // FILES)), F.xxhash64("file"))
+    dealt = starts(manifest).repartition(max(1, -(-manifest.count() // FILES)), F.xxhash64("file"))
     return dealt.mapInArrow(rows, _ROWS)
 
 

@@ -89,10 +89,7 @@ def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = shared.scratch(spark, "planes")
     manifest = planes.write(_table(spark, sf_dir, "documents"), directory, tokenizer_file("byte_bpe_50k.json"))
-    found = planes.read(manifest, directory)
-    found = found.select("file", "doc_id", "start_in_file", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    placed = found.join(planes.starts(manifest), "file").withColumn("start", F.col("first") + F.col("start_in_file"))
-    return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
+    return planes.read(manifest, directory).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
