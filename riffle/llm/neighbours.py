@@ -18,7 +18,7 @@ from riffle.llm import shared
 
 #: Covers the rounding of the float32 arithmetic on tiles and of the double-precision measure.
 SLACK = 1e-5
-_SCHEMA = "query_id long, vec_id long, score double"
+_SCHEMA = "query_mark long, query_id long, vec_id long, score double"
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,11 +84,10 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of largest cosine per query, nearest first.
 
-    ``is_query`` is a condition on ``id``. Candidates of a query are all rows but those with its own
-    id; ties go to the smaller id. The result is exact. Rows with a null id, a null, empty or zero
+    ``is_query`` is a condition on ``id``. Candidates of a query are all rows but its own; ties go to the smaller id. The result is exact. Rows with a null id, a null, empty or zero
     vector, a null or non-finite component, or a squared length outside the range of doubles take
-    no part. Vectors of different lengths are not compared. Of rows that share an id the one with
-    the smallest vector counts. Further columns are ignored. Fewer than k candidates are all
+    no part. Vectors of different lengths are not compared. Rows that share an id are candidates each, of each
+    other too, and queries each. Further columns are ignored. Fewer than k candidates are all
     returned; without queries the result is empty.
     """
     vectors = shared.usable_vectors(df, vec_id, vector)
@@ -97,19 +96,19 @@ def search(
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def tile(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        asked, out = shared.by_dimension(queries, "query_id", "query"), []
-        for n, (ids, matrix) in shared.by_dimension(candidates, "id", "vec").items():
+        asked, out = shared.by_dimension(queries, "query_id", "query", "query_mark"), []
+        for n, (ids, matrix, marks) in shared.by_dimension(candidates, "id", "vec", "mark").items():
             if n not in asked:
                 continue
-            query_ids, wanted = asked[n]
+            query_ids, wanted, query_marks = asked[n]
             square, query_square = _measurable(matrix), _measurable(wanted)
             fit, query_fit = (np.isfinite(s) & (s > 0) for s in (square, query_square))
-            ids, matrix, length = ids[fit], matrix[fit], np.sqrt(square[fit])
-            query_ids, wanted, query_length = query_ids[query_fit], wanted[query_fit], np.sqrt(query_square[query_fit])
+            ids, matrix, length, marks = ids[fit], matrix[fit], np.sqrt(square[fit]), marks[fit]
+            query_ids, wanted, query_marks = query_ids[query_fit], wanted[query_fit], query_marks[query_fit]
+            query_length = np.sqrt(query_square[query_fit])
             if not len(ids) or not len(query_ids):
                 continue
-            at = np.searchsorted(ids, query_ids)
-            own = np.where(ids[np.minimum(at, len(ids) - 1)] == query_ids, at, -1)
+            own = shared.places(marks, query_marks)
             rows = Int8Block(matrix, length)
             for start in range(0, len(query_ids), 128):
                 part = slice(start, start + 128)
@@ -119,10 +118,10 @@ def search(
                 first = np.searchsorted(q, np.arange(start, min(start + 128, len(query_ids)) + 1))
                 for i, (a, b) in enumerate(zip(first, first[1:])):
                     best = heapq.nsmallest(k, zip(-score[a:b], ids[r[a:b]]))
-                    out += [(query_ids[start + i], vec, -lower) for lower, vec in best]
-        query_id, found, score = zip(*out) if out else ((), (), ())
-        types = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(x, t) for x, t in zip((query_id, found, score), types)], ["query_id", "vec_id", "score"])
+                    out += [(query_marks[start + i], query_ids[start + i], vec, -lower) for lower, vec in best]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        columns = zip(*out) if out else [()] * 4
+        return pa.table([pa.array(x, t) for x, t in zip(columns, types)], ["query_mark", "query_id", "vec_id", "score"])
 
     def merge(part: pa.Table) -> pa.Table:
         best = heapq.nsmallest(k, zip(-part["score"].to_numpy(), part["vec_id"].to_numpy()))
@@ -135,7 +134,7 @@ def search(
             }
         )
 
-    merged = grid.applyInArrow(tile, _SCHEMA).groupBy("query_id")
+    merged = grid.applyInArrow(tile, _SCHEMA).groupBy("query_mark")
     return merged.applyInArrow(merge, "query_id long, rank int, vec_id long, score double").select(
         "query_id", F.col("rank"), "vec_id", "score"
     )

@@ -6,26 +6,26 @@ _FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embe
 
 _OP1 = f"""
 WITH v AS (
-  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  SELECT row_number() OVER () AS mark, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
   FROM embeddings WHERE {_FINITE}
 ), scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id,
+  SELECT a.mark, a.vec_id AS query_id, b.vec_id,
          CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)]) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.mark <> b.mark
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY mark ORDER BY score DESC, vec_id) AS rank FROM scored
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 _OP10 = f"""
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_FINITE}),
+WITH v AS (SELECT row_number() OVER () AS mark, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_FINITE}),
 n AS (SELECT *, sqrt(list_inner_product(e, e)) AS length FROM v WHERE list_inner_product(e, e) > 0),
 scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) / (a.length * b.length) AS score
-  FROM n a JOIN n b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+  SELECT a.mark, a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) / (a.length * b.length) AS score
+  FROM n a JOIN n b ON a.vec_id % 50 = 0 AND a.mark <> b.mark
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY mark ORDER BY score DESC, vec_id) AS rank FROM scored
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -56,12 +56,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def usable_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """``id`` and ``vec`` of the rows with an id and a non-empty vector of finite components."""
+    """``mark, id, vec`` of the rows with an id and a non-empty vector of finite components, written once: the mark tells
+    rows apart that share an id."""
     ok = (
         f"`{vec_id}` IS NOT NULL AND `{vector}` IS NOT NULL AND size(`{vector}`) > 0 AND forall(`{vector}`, "
         "x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     )
-    return df.filter(ok).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vec"))
+    kept = df.filter(ok).select(F.monotonically_increasing_id().alias("mark"), F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vec"))
+    return stored(kept, "vectors")
 
 
 def bucket(column: str, parts: int, seed: int = 0):
@@ -69,43 +71,43 @@ def bucket(column: str, parts: int, seed: int = 0):
     return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(parts)).cast("int")
 
 
-def by_dimension(table: pa.Table, vec_id: str, vector: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and float64 matrix per vector length, sorted by id, one row per id.
-
-    Of rows that share an id, the one with the smallest vector counts.
-    """
+def by_dimension(table: pa.Table, vec_id: str, vector: str, mark: str) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, float64 matrix and marks per vector length, sorted by id and mark."""
     found = {}
     lengths = pc.list_value_length(table[vector]).to_numpy()
     for n in np.unique(lengths):
         part = table.filter(pa.array(lengths == n))
-        ids = part[vec_id].to_numpy()
+        ids, marks = part[vec_id].to_numpy(), part[mark].to_numpy()
         matrix = pc.list_flatten(part[vector]).to_numpy().astype(np.float64).reshape(len(ids), int(n))
-        order = np.argsort(ids, kind="stable")
-        if len(np.unique(ids)) < len(ids):
-            order = np.lexsort((*matrix.T[::-1], ids))
-        ids, matrix = ids[order], matrix[order]
-        first = np.ones(len(ids), bool)
-        first[1:] = ids[1:] != ids[:-1]
-        found[int(n)] = (ids[first], matrix[first])
+        order = np.lexsort((marks, ids))
+        found[int(n)] = (ids[order], matrix[order], marks[order])
     return found
 
 
+def places(marks: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted mark stands in ``marks``, or -1."""
+    order = np.argsort(marks)
+    at = np.minimum(np.searchsorted(marks, wanted, sorter=order), max(0, len(marks) - 1))
+    return np.where(marks[order[at]] == wanted, order[at], -1) if len(marks) else np.full(len(wanted), -1)
+
+
 def tiles(vectors: DataFrame, is_query: str, rows_per_block: int, queries_per_block: int):
-    """Candidates (``id, vec``) and queries (``query_id, query``) cogrouped by (candidate block, query block).
+    """Candidates (``mark, id, vec``) and queries (``query_mark, query_id, query``) cogrouped by (candidate block, query block).
 
     Both sides are copied to the tiles of their row or column of the grid, like the factors of a
-    blocked matrix product; a row's block follows from its id, so repeated ids meet in one block.
+    blocked matrix product; a row's block follows from its mark, so rows that share an id spread like others.
     Returns None if there is no query.
     """
     n = vectors.agg(F.count("*").alias("rows"), F.count_if(F.expr(is_query)).alias("queries")).first()
     if not n["queries"]:
         return None
     across, down = -(-n["rows"] // rows_per_block), -(-n["queries"] // queries_per_block)
-    candidates = vectors.withColumn("cb", bucket("id", across)).withColumn(
+    candidates = vectors.withColumn("cb", bucket("mark", across)).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))
     )
-    queries = vectors.filter(is_query).withColumn("qb", bucket("id", down, 1))
+    queries = vectors.filter(is_query).withColumn("qb", bucket("mark", down, 1))
     queries = queries.select(
+        F.col("mark").alias("query_mark"),
         F.col("id").alias("query_id"),
         F.col("vec").alias("query"),
         "qb",

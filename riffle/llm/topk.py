@@ -19,7 +19,7 @@ from riffle.llm import shared
 
 #: Rows and queries with quantised components from this magnitude on are multiplied out instead of sliced.
 LIMIT = 2**24
-_SCHEMA = "query_id long, vec_id long, score long"
+_SCHEMA = "query_mark long, query_id long, vec_id long, score long"
 
 
 def quantise(matrix: np.ndarray, scale: int) -> np.ndarray:
@@ -136,10 +136,9 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest inner products of ``floor(scale * x)`` per query.
 
-    ``is_query`` is a condition on ``id``. Candidates of a query are all rows but those with its own
-    id; ties go to the smaller id. Rows with a null id, a null or empty vector, or a null, non-finite
+    ``is_query`` is a condition on ``id``. Candidates of a query are all rows but its own; ties go to the smaller id. Rows with a null id, a null or empty vector, or a null, non-finite
     or unrepresentable component (from 2**63 on after scaling) take no part, and pairs whose score does not fit in a long are left out. Vectors of different
-    lengths are not compared. Of rows that share an id the one with the smallest vector counts. Further columns are ignored.
+    lengths are not compared. Rows that share an id are candidates each, of each other too, and queries each. Further columns are ignored.
     Fewer than k candidates are all returned; without queries the result is empty.
     """
     vectors = shared.usable_vectors(df, vec_id, vector).filter(F.expr(f"forall(vec, x -> abs(x) < {2**63}D / {scale})"))
@@ -148,18 +147,19 @@ def search(
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def tile(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        asked, out = shared.by_dimension(queries, "query_id", "query"), []
-        for n, (ids, matrix) in shared.by_dimension(candidates, "id", "vec").items():
+        asked, out = shared.by_dimension(queries, "query_id", "query", "query_mark"), []
+        for n, (ids, matrix, marks) in shared.by_dimension(candidates, "id", "vec", "mark").items():
             if n not in asked:
                 continue
             values, wanted = quantise(matrix, scale), quantise(asked[n][1], scale)
             small = _sliced(values)
-            groups = [(ids, values, True)] if small.all() else [(ids[g], values[g], g is small) for g in (small, ~small)]
-            for own_ids, rows_of, sliced in groups:
+            groups = [(ids, marks, values, True)] if small.all() else [(ids[g], marks[g], values[g], g is small) for g in (small, ~small)]
+            query_ids, _, query_marks = asked[n]
+            for own_ids, own_marks, rows_of, sliced in groups:
                 index = BitSlicedIndex(rows_of) if sliced and len(own_ids) else None
-                for query_id, factors, fine in zip(asked[n][0], wanted, _sliced(wanted)):
-                    at = int(np.searchsorted(own_ids, query_id))
-                    own = at if at < len(own_ids) and own_ids[at] == query_id else None
+                places = shared.places(own_marks, query_marks).tolist()
+                for query_id, mark, place, factors, fine in zip(query_ids, query_marks, places, wanted, _sliced(wanted)):
+                    own = place if place >= 0 else None
                     if index and fine:
                         rows = index.top(factors, k, own)
                         scores = rows_of[rows] @ factors
@@ -168,10 +168,10 @@ def search(
                         rows, scores = (x[rows != own] for x in (rows, scores)) if own is not None else (rows, scores)
                         best = np.lexsort((rows, ~scores))[:k]
                         rows, scores = rows[best], scores[best]
-                    out.append((np.full(len(rows), query_id), own_ids[rows], scores))
-        parts = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), parts)))
+                    out.append((np.full(len(rows), mark), np.full(len(rows), query_id), own_ids[rows], scores))
+        parts = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.table(dict(zip(("query_mark", "query_id", "vec_id", "score"), parts)))
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_mark").orderBy(F.desc("score"), "vec_id")
     ranked = grid.applyInArrow(tile, _SCHEMA).withColumn("rank", F.row_number().over(best))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -35,9 +35,9 @@ def vectors(n, dims=3, seed=1, step=0.25):
 def brute(rows, is_query, k, score, alike=lambda a, b: len(a) == len(b)):
     found = []
     known = usable(rows)
-    for q, a in known:
+    for own, (q, a) in enumerate(known):
         if is_query(q):
-            best = sorted((-score(a, b), i) for i, b in known if i != q and alike(a, b))[:k]
+            best = sorted((-score(a, b), i) for row, (i, b) in enumerate(known) if row != own and alike(a, b))[:k]
             found += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(found)
 
@@ -75,11 +75,16 @@ def test_topk_returns_all_of_few_candidates(spark):
     assert sorted(map(tuple, got)) == brute(rows, lambda i: i == 2, 20, inner)
 
 
-def test_topk_repeated_rows_count_once(spark):
-    rows = vectors(30)
-    once = topk.search(spark.createDataFrame(rows, SCHEMA), "id % 10 = 0", k=5).collect()
-    twice = topk.search(spark.createDataFrame(rows + rows, SCHEMA), "id % 10 = 0", k=5).collect()
-    assert sorted(map(tuple, once)) == sorted(map(tuple, twice))
+@pytest.mark.parametrize("blocks", [(32768, 1024), (25, 4)])
+def test_rows_that_share_an_id_are_candidates_and_queries_each(spark, blocks):
+    rows = vectors(40) + vectors(40)[::2] + [(20, v, *x) for _, v, *x in vectors(30, seed=8)]
+    df, size = spark.createDataFrame(rows, SCHEMA).repartition(3), {"rows_per_block": blocks[0], "queries_per_block": blocks[1]}
+    got = topk.search(df, "id % 10 = 0", k=5, **size).collect()
+    assert sorted(map(tuple, got)) == brute(rows, lambda i: i % 10 == 0, 5, inner)
+    rows = vectors(40, dims=6, step=1e-4) + [(20, v, *x) for _, v, *x in vectors(30, dims=6, seed=8, step=1e-4)]
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA).repartition(3), "id % 10 = 0", k=5, **size).collect()
+    want = brute(rows, lambda i: i % 10 == 0, 5, cosine)
+    assert [g[:3] for g in sorted(map(tuple, got))] == [w[:3] for w in want]
 
 
 @pytest.mark.parametrize("search", [topk.search, neighbours.search])
