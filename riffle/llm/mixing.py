@@ -2,10 +2,10 @@
 
 Every document of a source has the same fractional number of copies. Its whole part is certain; the
 fractions are rounded in pairs: mass in words moves from one partner to the other, in a random
-direction that leaves both expectations as they are, until one of the two is a whole number. In a
-block of documents, each one from the largest down pairs with all smaller ones together, so that
-what is left over is small. What is left of each block is combined through a reduction tree, in
-which the one that is left over pairs with the next.
+direction that leaves both expectations as they are, until one of the two is a whole number. In a pair
+of single documents the smaller one becomes whole first, so pairs alone would leave a block's largest documents
+to chance. Therefore in a block each document from the largest down pairs with all smaller ones together. What is left
+of each block is combined through a reduction tree in pairs, in which the one that is left over pairs with the next.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from riffle.llm import shared
 
 #: Residuals that one step of the reduction tree combines.
 FAN_IN = 64
-_STATE = "doc_id long, source string, size long, seed long, block long, p double, extra int"
+#: Rows equal in id, source and size that stay in one block.
+ALIKE = 1000
+_STATE = "mark long, source string, size long, seed long, block long, p double, extra int"
 
 
 def words(text: Column) -> Column:
@@ -86,6 +88,10 @@ def pivot_pairs(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> t
     """Rounded probabilities, and the index of the one that stays fractional (-1: none)."""
     p, held = p.copy(), -1
     for i in np.flatnonzero((p > 0) & (p < 1)).tolist():
+        if not sizes[i]:
+            # A document without words has no mass to move.
+            p[i] = float(rng.random() < p[i])
+            continue
         if held < 0:
             held = i
             continue
@@ -127,37 +133,38 @@ def _round(table: pa.Table, seed: int, level: int, last: bool) -> pa.Table:
     return table.set_column(table.schema.get_field_index("extra"), "extra", pa.array(extra, pa.int32()))
 
 
-def mix(
-    docs: DataFrame,
-    weights: list[float],
-    share: float,
-    most: float,
-    seed: int = 17,
-    block_rows: int = 20_000,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` of every row.
-
-    ``copies`` is 0 up to ``most``, rounded up; ``taken`` is copies times size. A null text has size 0; a null source is a
-    source of its own. A source without words has target 0 and no copies. Repeated rows and null ids are documents of
-    their own. Further columns are ignored. The same rows and seed give the same result, however the rows are partitioned, but that rows
-    equal in id, source and size may change places.
+def _dealt(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``piece``: 0, but for rows that more than ``ALIKE`` others equal. Those are numbered, in groups of
+    their own, and cut into pieces of that many; how many there are of each piece follows from their count alone.
     """
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size")
-    )
-    sized = shared.stored(rows, "sizes")
+    alike = ("source", "doc_id", "size")
+    often = sized.groupBy(*alike).agg(F.count("*").alias("n")).filter(F.col("n") > ALIKE)
+    often = often.select(*[F.col(c).alias(f"of_{c}") for c in alike], "n")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in alike]
+    found = sized.join(often, same[0] & same[1] & same[2], "left").select(*sized.columns, "n")
+    groups = F.pmod(F.xxhash64("mark"), F.ceil(F.col("n") / ALIKE).cast("int"))
+    crowded = found.filter("n IS NOT NULL").withColumn("group", groups)
+    sizes = crowded.groupBy(*alike, "group").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy(*alike).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*[F.col(c).alias(f"of_{c}") for c in alike], F.col("group").alias("of_group"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy(*alike, "group").orderBy("mark")
+    numbered = crowded.withColumn("turn", F.row_number().over(inside) - 1)
+    numbered = numbered.join(first, same[0] & same[1] & same[2] & (F.col("group") == F.col("of_group")))
+    numbered = numbered.select(*sized.columns, F.floor((F.col("turn") + F.col("first")) / ALIKE).cast("long").alias("piece"))
+    return found.filter("n IS NULL").select(*sized.columns, F.lit(0).cast("long").alias("piece")).unionByName(numbered)
+
+
+def _mixed(sized: DataFrame, weights: list[float], share: float, most: float, seed: int, block_rows: int) -> DataFrame:
+    """``mark, doc_id, source, size, source_size, target, copies, taken`` from ``mark, doc_id, source, size``."""
     wanted = shared.stored(targets(sized, weights, share, most), "targets")
     rate = wanted.withColumn("rate", F.expr("if(source_size = 0, 0D, target / source_size)"))
     rate = rate.withColumn("sure", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.col("sure"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("documents") / block_rows)).cast("int")
     rate = rate.select(F.col("source").alias("of"), "source_size", "target", "sure", "p", blocks.alias("blocks"))
-    joined = sized.join(rate, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    spread = F.xxhash64("doc_id", "size", F.lit(seed))
+    joined = _dealt(sized).join(rate, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    spread = F.xxhash64("doc_id", "size", "piece", F.lit(seed))
     state = joined.select(
-        "doc_id", "source", "size", spread.alias("seed"), F.pmod(spread, "blocks").cast("long").alias("block"), "p",
+        "mark", "source", "size", spread.alias("seed"), F.pmod(spread, "blocks").cast("long").alias("block"), "p",
         F.lit(None).cast("int").alias("extra"),
     )
     most_blocks = rate.agg(F.max("blocks")).first()[0] or 1
@@ -171,34 +178,61 @@ def mix(
             break
         state = step.filter("extra IS NULL").withColumn("block", F.expr(f"block div {FAN_IN}"))
         most_blocks, level = -(-most_blocks // FAN_IN), level + 1
-    result = decided[0]
+    extra = decided[0]
     for more in decided[1:]:
-        result = result.unionByName(more)
-    result = result.select("doc_id", "source", "size", "extra")
+        extra = extra.unionByName(more)
+    result = sized.join(extra.select("mark", "extra"), "mark")
     result = result.join(rate.drop("p", "blocks"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     copies = F.col("sure") + F.col("extra")
     return result.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "mark", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` takes it. Rows equal in id, source and size are told apart by their turn.
+def _sized(doc_id: str, text: str, source: str) -> list[Column]:
+    return [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size")]
+
+
+def mix(
+    docs: DataFrame,
+    weights: list[float],
+    share: float,
+    most: float,
+    seed: int = 17,
+    block_rows: int = 20_000,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` of every row.
 
-    Both sides are partitioned once, by one key that is never null.
+    ``copies`` is 0 up to ``most``, rounded up; ``taken`` is copies times size. A null text has size 0; a null source is a
+    source of its own. A source without words has target 0 and no copies. Repeated rows and null ids are documents of
+    their own. Further columns are ignored. The same rows and seed give the same result, however the rows are partitioned, but that rows
+    equal in id, source and size may change places.
     """
+    rows = docs.select(F.monotonically_increasing_id().alias("mark"), *_sized(doc_id, text, source))
+    return _mixed(shared.stored(rows, "sizes"), weights, share, most, seed, block_rows).drop("mark")
 
-    def key(one, of, size):
-        parts = (F.coalesce(c.cast("string"), F.lit("-")) for c in (one, size, of))
-        return F.concat_ws(":", F.isnull(of).cast("string"), *parts)
 
-    own = docs.columns
-    one, of = F.col(doc_id).cast("long"), F.col(source).cast("string")
-    keyed = docs.select(
-        F.struct(*own).alias("row"), key(one, of, words(F.col(text))).alias("key"), F.xxhash64(*own).alias("hash")
-    )
-    keyed = keyed.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("hash")))
-    taken = mixed.select(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("of"), "copies")
-    taken = taken.withColumn("at", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("copies"))))
-    paired = keyed.join(taken, F.expr("key = of AND turn - at = 0")).filter("copies > 0")
+def mixed_rows(
+    docs: DataFrame,
+    weights: list[float],
+    share: float,
+    most: float,
+    seed: int = 17,
+    block_rows: int = 20_000,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; columns are those of ``docs``, whatever their names.
+
+    Rows and decisions meet by a mark that is written with the rows, so that equal rows need not be told apart again.
+    """
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("mark"), *_sized(doc_id, text, source))
+    held = shared.stored(held, "rows")
+    taken = _mixed(held.select("mark", "doc_id", "source", "size"), weights, share, most, seed, block_rows)
+    kept = taken.filter("copies > 0").select(F.col("mark").alias("of"), "copies")
+    paired = held.select("mark", "row").join(kept, F.col("mark") == F.col("of"))
     return paired.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

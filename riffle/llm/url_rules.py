@@ -49,19 +49,28 @@ def explicit(host_name: Column, path_name: Column, rules: list[tuple[str, str, s
     return rule, verdict
 
 
+def sure_share(hits: Column, total: Column, z: float) -> Column:
+    """Lower bound of a share that ``hits`` of ``total`` show, by Wilson's interval of ``z`` standard errors."""
+    share = hits / total
+    spread = F.sqrt(share * (1 - share) / total + z * z / (4 * total * total))
+    return (share + z * z / (2 * total) - z * spread) / (1 + z * z / total)
+
+
 def mine(
     labelled: DataFrame,
     min_support: float,
     min_confidence: float,
-    min_count: int = 20,
+    z: float = 2.58,
     bad: str = "bad",
     items: str = "tokens",
 ) -> DataFrame:
     """``rule, tokens, support, confidence``: token combinations that tell bad URLs.
 
     ``labelled`` has an array of distinct tokens and a boolean. Support is the share of the bad URLs that hold the
-    combination, at least ``min_count`` of them; confidence is the share of bad ones among all labelled
-    URLs that hold it. A rule of which a part is a rule at least as confident is pruned. Rows with a null label or null tokens are left out; no bad URL gives no rule.
+    combination; confidence is the share of bad ones among all labelled URLs that hold it. What guards against chance
+    is a lower bound of that share, ``z`` standard errors below, which has to reach ``min_confidence``; both
+    limits are the same for tables of any size. A rule of which a part is a rule at least as confident is
+    pruned. Rows with a null label or null tokens are left out; no bad URL gives no rule.
     """
     spark = labelled.sparkSession
     usable = labelled.filter(F.col(bad).isNotNull() & F.col(items).isNotNull()).select(
@@ -73,14 +82,15 @@ def mine(
     schema = "rule string, tokens array<string>, support double, confidence double"
     if not n:
         return spark.createDataFrame([], schema)
-    frequent = FPGrowth(itemsCol="tokens", minSupport=min(1.0, max(min_support, min_count / n))).fit(baskets).freqItemsets
-    found = frequent.filter(F.col("freq") >= min_count).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits"))
+    # h hits of h show a share of h / (h + z * z), so no rarer combination can reach the bound.
+    fewest = min_confidence * z * z / (1 - min_confidence) if min_confidence < 1 else n
+    frequent = FPGrowth(itemsCol="tokens", minSupport=min(1.0, max(min_support, fewest / n))).fit(baskets).freqItemsets
+    found = frequent.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits"))
     found = shared.stored(found.withColumn("rule", F.array_join("tokens", " ")), "itemsets")
     held = matches(usable.filter("NOT bad").withColumn("row", F.monotonically_increasing_id()), "row", found)
     fair = held.groupBy("rule").agg(F.count("*").alias("fair"))
-    rules = found.join(fair, "rule", "left").withColumn("fair", F.coalesce("fair", F.lit(0)))
-    rules = rules.withColumn("confidence", F.col("hits") / (F.col("hits") + F.col("fair")))
-    rules = rules.filter(F.col("confidence") >= min_confidence)
+    rules = found.join(fair, "rule", "left").withColumn("all", F.col("hits") + F.coalesce("fair", F.lit(0)))
+    rules = rules.filter(sure_share(F.col("hits"), F.col("all"), z) >= min_confidence).withColumn("confidence", F.col("hits") / F.col("all"))
     rules = shared.stored(rules.select("rule", "tokens", (F.col("hits") / n).alias("support"), "confidence"), "rules")
     parts = rules.select(F.col("rule").alias("part"), F.col("tokens").alias("fewer"), F.col("confidence").alias("as_sure"))
     longer = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token"))
@@ -115,7 +125,7 @@ def judge(
     """``page_id, host, path, rule, verdict, mined_rule`` of every page.
 
     An explicit rule decides; else a page that a mined rule matches is blocked, and any other gets ``default``.
-    ``mined_rule`` is the most confident one that matches. A null URL, or one without ``://``, has an empty host and
+    ``mined_rule`` is the most confident one that matches, of equally confident ones the last by name. A null URL, or one without ``://``, has an empty host and
     path and no tokens. Repeated rows each get a row; a null id stays null. Further columns are ignored.
     """
     read = pages.select(F.col(page_id).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))

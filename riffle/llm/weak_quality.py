@@ -1,7 +1,8 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote good or poor or abstain on every document. How reliable each one is follows from where
-they agree: expectation-maximisation over the counts of vote patterns of all documents. The posterior of each
+they agree: expectation-maximisation over the counts of vote patterns of all documents, with a class of good ones
+and several kinds of junk. The posterior of each
 document's pattern is its label, and a linear scorer over hashed features learns from a bounded
 sample of such documents. Its score decides.
 """
@@ -88,36 +89,37 @@ def votes(seen: Words) -> str:
 
 
 def expectation_maximisation(
-    patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, false_alarms: float = 0.002, belief: float = 10.0
-) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good per pattern, each labeller's vote shares by class, and the share of good documents.
-
-    ``patterns`` holds a vote per labeller. Abstaining says nothing about the class. The start takes every pattern with a
-    poor vote for poor, since a labeller that sees one kind of fault calls all other faults good. For the same reason faults
-    of different kinds do not agree, and the likelihood alone may take one kind for good: a prior, worth ``belief`` times
-    the documents, says that a labeller calls a good document poor in ``false_alarms`` of the cases.
+    patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, belief: float = 1.0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of good per pattern, how often each labeller that votes says poor by class, and the classes' shares.
+
+    ``patterns`` holds a vote per labeller. Abstaining says nothing. There is one class of good documents and one of
+    junk per labeller, since faults of different kinds do not agree: a labeller that sees one kind calls all others good. A kind starts
+    from the patterns in which its labeller votes poor, the good class from those without any such vote; from then on
+    all rates and shares come from the counts. ``belief`` documents of each vote and class keep rates off zero and one. Labellers should
+seldom accuse good documents: lone accusations beyond a few in a hundred are taken for a kind of junk.
     """
-    k = patterns.shape[1]
-    expected = belief * counts.sum() * np.array([false_alarms, 1 - false_alarms])
-    posterior = np.where((patterns == POOR).any(axis=1), 0.1, 0.9)
-    rates, prior = np.zeros((k, 2, 2)), 0.5
-    for _ in range(rounds):
-        weight = np.stack([(1 - posterior) * counts, posterior * counts])
-        prior = (weight[1].sum() + 1) / (weight.sum() + 2)
-        for j in range(k):
-            for vote in (POOR, GOOD):
-                rates[j, :, vote] = weight @ (patterns[:, j] == vote) + 0.5
-            rates[j, GOOD] += expected
-            rates[j] /= rates[j].sum(axis=1, keepdims=True)
-        odds = np.full(len(patterns), np.log(prior) - np.log1p(-prior))
-        for j in range(k):
-            for vote in (POOR, GOOD):
-                odds += (patterns[:, j] == vote) * (np.log(rates[j, GOOD, vote]) - np.log(rates[j, POOR, vote]))
-        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        if np.abs(new - posterior).max() < 1e-9:
-            return new, rates, prior
+    poor, good = (patterns == POOR).astype(float), (patterns == GOOD).astype(float)
+    accused = poor.sum(axis=1, keepdims=True)
+    # A trace of every class in every pattern lets all of them move.
+    posterior = np.hstack([accused == 0, poor / np.maximum(1, accused)]) + 1e-3
+    posterior /= posterior.sum(axis=1, keepdims=True)
+    while True:
+        weight = posterior * counts[:, None]
+        shares = (weight.sum(axis=0) + belief) / (counts.sum() + belief * weight.shape[1])
+        rates = (weight.T @ poor + belief) / (weight.T @ (poor + good) + 2 * belief)
+        odds = np.log(shares) + poor @ np.log(rates).T + good @ np.log1p(-rates).T
+        new = np.exp(odds - odds.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        rounds -= 1
+        if not rounds or np.abs(new - posterior).max() < 1e-9:
+            return new[:, 0], rates, shares
         posterior = new
-    return posterior, rates, prior
+
+
+def accuracies(rates: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each labeller says poor of junk of all kinds together, and of good documents."""
+    return shares[1:] @ rates[1:] / shares[1:].sum(), rates[0]
 
 
 class _Kinds(dict):
@@ -209,7 +211,7 @@ def classify(
 ) -> DataFrame:
     """``docs`` with ``votes`` (a digit per labeller: 0 poor, 1 good, 2 abstains), ``posterior``, ``score`` and ``keep``.
 
-    The counts behind the posterior cover all rows. The scorer learns from at most ``train_rows`` rows, those with the least hash of
+    The counts behind the posterior cover all rows. The scorer learns from at most ``train_rows`` different rows, those with the least hash of
     id and text. A row is kept from a score of ``keep_from`` on. A null text, or one without words, gets score 0 and
     is not kept. Repeated rows get equal results. Columns already named like the new ones are replaced;
     all others stay. An empty table gives an empty result.
@@ -226,12 +228,13 @@ def classify(
         table = np.array([[int(v) for v in p] for p, _ in known])
         found, _, _ = expectation_maximisation(table, np.array([c for _, c in known], np.float64))
         posterior = dict(zip((p for p, _ in known), found.tolist()))
-    sample = stored.filter(F.col("votes") != nothing).orderBy("hash").limit(train_rows)
+    # Repeated rows share a hash and count once in the sample, so that no group of them reaches the driver.
+    sample = stored.filter(F.col("votes") != nothing).select("hash").distinct().orderBy("hash").limit(train_rows)
     border = sample.agg(F.max("hash")).first()[0]
     weights = np.zeros(slots + 1)
     if border is not None:
-        chosen = voted.filter(F.col("hash") <= border).mapInArrow(_featuring(slots), _SAMPLE).collect()
-        chosen = sorted((r for r in chosen if r["votes"] != nothing), key=lambda r: (r["hash"], r["votes"]))[:train_rows]
+        drawn = voted.filter(F.col("hash") <= border).mapInArrow(_featuring(slots), _SAMPLE).filter(F.col("votes") != nothing)
+        chosen = sorted(drawn.dropDuplicates(["hash"]).limit(train_rows).collect(), key=lambda r: r["hash"])
         rows = [(np.frombuffer(r["slots"], np.int64), np.frombuffer(r["weights"], np.float64)) for r in chosen]
         weights = fit(rows, np.array([posterior[r["votes"]] for r in chosen]), slots)
     sent = spark.sparkContext.broadcast((weights, posterior))  # slots and patterns, both of fixed size
@@ -250,10 +253,11 @@ def classify(
             rows.append((vote, posterior.get(vote), float(score)))
         return pd.DataFrame(rows, columns=["votes", "posterior", "score"])
 
-    judged = docs.withColumn("_judged", judge(F.col(text)))
+    held = next(name for name in map("_judged{}".format, itertools.count()) if name not in docs.columns)
+    judged = docs.withColumn(held, judge(F.col(text)))
     for name in ("votes", "posterior", "score"):
-        judged = judged.withColumn(name, F.col(f"_judged.{name}"))
-    return judged.drop("_judged").withColumn("keep", F.col("score") >= keep_from)
+        judged = judged.withColumn(name, F.col(f"{held}.{name}"))
+    return judged.drop(held).withColumn("keep", F.col("score") >= keep_from)
 
 
 _SAMPLE = "hash long, votes string, slots binary, weights binary"

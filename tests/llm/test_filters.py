@@ -6,6 +6,7 @@ import re
 import string
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,12 +69,41 @@ def test_mined_rules_follow_support_and_confidence(spark):
     rows = [(["host:spam", "path:en"], True, "r")] * 30 + [(["host:spam", "path:de"], True, "r")] * 30
     rows += [(["host:fine", "path:en"], False, "r")] * 100 + [(["host:mix", "path:x"], True, "r")] * 30
     rows += [(["host:mix", "path:y"], False, "r")] * 30 + [(["host:rare"], True, "r")] * 5 + [(None, True, "r"), (["host:spam"], None, "r")]
-    found = {r["rule"]: r for r in url_rules.mine(labelled(spark, rows), 0.01, 0.9, min_count=20).collect()}
+    found = {r["rule"]: r for r in url_rules.mine(labelled(spark, rows), 0.01, 0.85, z=2.0).collect()}
     # Longer rules that add nothing to a shorter one are pruned; so are rare and unsure ones.
     assert set(found) == {"host:spam", "path:x", "path:de"}
     assert found["host:spam"]["confidence"] == 1.0 and found["host:spam"]["support"] == pytest.approx(60 / 95)
 
 
+def test_mined_rules_do_not_depend_on_the_size_of_the_table(spark):
+    """Shares decide; a bound on the share guards against chance, not a count that small tables cannot reach."""
+    rows = [(["host:spam", "path:a"], True, "r")] * 12 + [(["host:fine"], False, "r")] * 30 + [(["host:rare"], True, "r")] * 3
+    for times in (1, 8):
+        found = {r["rule"] for r in url_rules.mine(labelled(spark, rows * times), 0.01, 0.6).collect()}
+        assert found & {"host:spam", "path:a"} and ("host:rare" in found) == (times == 8)
+    assert url_rules.mine(labelled(spark, rows[-3:]), 0.01, 0.6).count() == 0
+
+
+def test_mined_rules_decide_pages_of_the_table(spark):
+    """Labels planted on the given pages: where they depend on the URL, pages without an explicit rule are blocked."""
+    folder = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    parts = url_rules.tokens(url_rules.host(F.col("url")), url_rules.path(F.col("url")))
+    planted = pages.select("page_id", parts.alias("tokens"), F.col("url").contains("/de/").alias("bad"))
+    rows = url_rules.judge(pages, url_rules.mine(planted, 0.01, 0.6), RULES).collect()
+    urls = dict(duckdb.sql(f"SELECT page_id, url FROM '{folder}/pages.parquet'").fetchall())
+    free = [r for r in rows if plain(urls[r["page_id"]])[3] is None]
+    assert {r["page_id"] for r in free if r["verdict"] == "block"} == {r["page_id"] for r in free if "/de/" in urls[r["page_id"]]}
+    assert any(r["verdict"] == "block" for r in free)
+
+
+def test_null_ids_repeated_pages_and_ties(spark):
+    mined = spark.createDataFrame([("a", ["host:net"], 0.1, 0.9), ("b", ["path:x"], 0.1, 0.9)], "rule string, tokens array<string>, support double, confidence double")
+    pages = spark.createDataFrame([(None, "http://q.net/x"), (1, "http://q.net/x"), (1, "http://q.net/x")], "page_id long, url string")
+    rows = url_rules.judge(pages, mined, RULES).collect()
+    assert sorted((r["page_id"] or 0, r["mined_rule"], r["verdict"]) for r in rows) == [(0, "b", "block"), (1, "b", "block"), (1, "b", "block")]
+
+
 def test_mined_rules_match_by_brute_force(spark):
     mined = [("a", ["host:spam"], 0.1, 0.9), ("b", ["host:net", "path:win"], 0.1, 0.95), ("c", ["host:org", "path:x", "path:y"], 0.1, 0.7)]
     urls = ["http://spam.net/a", "http://spam.net/win", "http://x.net/win/", "http://x.org/x/y", "http://x.org/x", "http://x.net/a/", None]
@@ -199,3 +229,62 @@ def test_long_unspaced_texts_are_judged_to_their_end(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(good * 20 + poor * 10)], "doc_id long, text string")
     keep = {r["text"]: r["keep"] for r in weak_quality.classify(docs).collect()}
     assert keep == {good[0]: True, good[1]: True, poor[0]: False, junk: False}
+
+
+def test_estimated_accuracies_are_those_of_the_data():
+    """Votes drawn from planted rates of a good class and two kinds of junk, without the labels."""
+    rng, k, n = np.random.default_rng(6), 5, 40_000
+    poor = np.array([[0.01, 0.02, 0.005, 0.01, 0.01], [0.9, 0.8, 0.1, 0.05, 0.4], [0.05, 0.1, 0.85, 0.9, 0.3]])
+    kind = rng.choice(3, n, p=[0.8, 0.12, 0.08])
+    votes = np.where(rng.random((n, k)) < poor[kind], weak_quality.POOR, weak_quality.GOOD)
+    votes[rng.random((n, k)) < 0.1] = weak_quality.ABSTAIN
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior, rates, shares = weak_quality.expectation_maximisation(patterns, counts.astype(float))
+    caught, false = weak_quality.accuracies(rates, shares)
+    assert np.abs(false - poor[0]).max() < 0.01 and abs(shares[0] - 0.8) < 0.02
+    assert np.abs(caught - (poor[1] * 0.12 + poor[2] * 0.08) / 0.2).max() < 0.05
+    assert np.mean((posterior[which.ravel()] >= 0.5) == (kind == 0)) > 0.96
+
+
+def test_classifier_equals_a_plain_computation(spark):
+    """Posteriors document by document instead of by pattern, features by name, scores by the plain formula."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = {r["doc_id"]: r for r in weak_quality.classify(docs, train_rows=150).collect()}
+    seen = {r["doc_id"]: weak_quality.Words(r["text"] or "") for r in docs.collect()}
+    votes = {d: weak_quality.votes(x) for d, x in seen.items()}
+    assert votes == {d: r["votes"] for d, r in rows.items()}
+    known = [d for d in sorted(votes) if votes[d] != "2" * 9]
+    said = np.array([[int(v) for v in votes[d]] for d in known])
+    accused = (said == 0).sum(axis=1)
+    belief = np.array([[a == 0, *((row == 0) / max(1, a))] for row, a in zip(said, accused)], float) + 1e-3
+    belief /= belief.sum(axis=1, keepdims=True)
+    for _ in range(300):
+        share = (belief.sum(axis=0) + 1) / (len(known) + 10)
+        rate = np.array([[(belief[said[:, j] == 0, c].sum() + 1) / (belief[said[:, j] < 2, c].sum() + 2) for j in range(9)] for c in range(10)])
+        likely = np.array([[share[c] * np.prod([rate[c][j] if v == 0 else 1 - rate[c][j] for j, v in enumerate(row) if v < 2]) for c in range(10)] for row in said])
+        belief = likely / likely.sum(axis=1, keepdims=True)
+    posterior = dict(zip(known, belief[:, 0]))
+    assert max(abs(rows[d]["posterior"] - p) for d, p in posterior.items()) < 1e-6
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    drawn = sorted(known, key=hashes.get)[:150]
+    features = {d: weak_quality.features(x, 2**14) for d, x in seen.items()}
+    weights = weak_quality.fit([features[d] for d in drawn], np.array([posterior[d] for d in drawn]), 2**14)
+    for d, (at, value) in features.items():
+        z = sum(weights[a] * v for a, v in zip(at, value)) + weights[-1]
+        want = 1 / (1 + np.exp(-max(-30, min(30, z)))) if len(at) else 0.0
+        assert rows[d]["score"] == pytest.approx(want, abs=1e-6) and rows[d]["keep"] == (rows[d]["score"] >= 0.5)
+
+
+def test_a_group_of_equal_rows_is_one_row_of_the_sample(spark):
+    same = "The river runs over old stones and past the mill, where children play."
+    docs = spark.createDataFrame([(1, same)] * 3000 + [(2, "BUY!! NOW!! BUY!! NOW!! CHEAP!! OFFER!! BUY!!")], "doc_id long, text string")
+    rows = weak_quality.classify(docs, train_rows=2).collect()
+    assert len(rows) == 3001 and {r["keep"] for r in rows if r["doc_id"] == 1} == {True} and not [r for r in rows if r["doc_id"] == 2][0]["keep"]
+
+
+def test_scan_of_empty_tables_and_repeated_rows(spark):
+    assert secrets_of(spark, ["x"]).limit(0).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string, secrets string")
+    assert secret_scan.scan(docs, *queries.rank_file()).count() == 0
+    rows = secrets_of(spark, [f"a {HEX}"] * 3).collect()
+    assert [len(r["secrets"]) for r in rows] == [1, 1, 1]

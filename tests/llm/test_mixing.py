@@ -89,6 +89,21 @@ def test_whole_and_empty_probabilities():
     assert held == -1 and set(got) <= {0.0, 1.0}
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ALIKE", 50)
+    rows = [(None, None, None)] * 400 + [(9999, "x y z", "a")] * 400 + [(i, "x " * (i % 9), "a") for i in range(200)]
+    docs = documents(spark, rows)
+    sized = docs.select(F.monotonically_increasing_id().alias("mark"), "doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    pieces = mixing._dealt(mixing.shared.stored(sized, "sizes")).groupBy("source", "doc_id", "piece").count().collect()
+    crowded = [r["count"] for r in pieces if r["doc_id"] in (None, 9999) and r["source"] != "b"]
+    assert sorted(c for c in crowded if c > 1) == [50] * 16
+    got = mixing.mix(docs, WEIGHTS, 1.5, 2, block_rows=60).collect()
+    assert len(got) == 1000
+    again = mixing.mix(documents(spark, rows).repartition(5), WEIGHTS, 1.5, 2, block_rows=60).collect()
+    key = lambda found: sorted((r["doc_id"] or -1, r["source"] or "", r["size"], r["copies"]) for r in found)
+    assert key(got) == key(again)
+
+
 def test_edges(spark):
     rows = [(1, None, "a"), (2, "", "a"), (None, "x y", "b"), (3, "x y", None), (3, "x y", None), (4, "\u00a0 \x1c", "c")]
     got = mixing.mix(documents(spark, rows), WEIGHTS, 1.5, 2).collect()
@@ -100,10 +115,10 @@ def test_edges(spark):
 
 def test_rows_are_repeated_as_often_as_taken(spark):
     rows = corpus(3, 200) + [(3, "same id", "b"), (3, "same id", "b"), (None, "none", None)]
-    docs = documents(spark, rows).cache()
-    mixed = mixing.mix(docs, WEIGHTS, 1.5, 2).cache()
-    out = mixing.repeated(docs, mixed)
+    docs = documents(spark, rows)
+    out = mixing.mixed_rows(docs, WEIGHTS, 1.5, 2)
     assert out.columns == docs.columns
+    mixed = mixing.mix(docs, WEIGHTS, 1.5, 2)
     count = lambda df, n: {(r["doc_id"], r["source"], r["w"]): r["n"] for r in df.groupBy("doc_id", "source", "w").agg(n.alias("n")).collect() if r["n"]}
     ours = count(out.withColumn("w", mixing.words(F.col("text"))), F.count("*"))
     assert ours == count(mixed.withColumn("w", F.col("size")), F.sum("copies"))

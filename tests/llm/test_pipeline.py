@@ -73,14 +73,26 @@ def test_run_applies_all_stages(spark):
     assert got.count() > 0
 
 
-def test_nulls_pass_through_the_pipeline(spark):
-    docs = spark.createDataFrame(
-        [(1, None, None, None, None), (2, "the river runs past the old mill and on", None, "a", 3), (None, "a text without an id but with words", "en", None, None)],
-        "doc_id long, text string, lang string, source string, n_chars long",
-    )
-    for _, stage in corpus_pipeline.STAGES:
+SAID = "the river runs past the old mill and on to the sea where boats wait for the morning tide"
+
+
+def test_nulls_repeats_and_clashing_names_pass_through_the_pipeline(spark):
+    rows = [
+        (1, None, None, None, None), (2, SAID, None, "a", 3), (None, SAID + " again", "en", None, None), (2, SAID, None, "a", 3),
+        (2, "quite another text under the same id that nobody else has written down before today", "en", "a", None),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, keep string, row int, mark string, copies int, _judged int"
+    docs = spark.createDataFrame([(*r, -7.0, "mine", 1, "m", 5, 6) for r in rows], schema)
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = shared.stored(stage(spark, docs, SF_DIR), "stage")
-    assert docs.count() >= 0
+        assert docs.schema.names == [c.split()[0] for c in schema.split(", ")]
+        assert {tuple(r)[5:] for r in docs.collect()} <= {(-7.0, "mine", 1, "m", 5, 6)}
+        kept.append(sorted((r["doc_id"] or -1, r["text"]) for r in docs.collect()))
+    want = sorted((d or -1, t) for d, t, *_ in rows if t)
+    assert kept[0] == want and kept[1] == kept[2] == sorted([want[1], want[2]] if want[1][1] != SAID + " again" else want[1:3])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+    assert packed.count() == len(kept[3]) >= 2
 
 
 def test_empty_documents(spark):
