@@ -268,8 +268,11 @@ def _may_link(a: str, b: str) -> str:
     return f"{length} AND {place} AND {suffix}"
 
 
-#: Members that one task compares with a leader, rows of a list that are compared with each other, and rounds of leaders.
-_TOGETHER, _LIST, _ROUNDS = 200, 1000, 12
+#: Members that one task compares with a leader, and rows of a list that are compared with each other.
+_TOGETHER, _LIST = 200, 1000
+#: Rounds of leaders at most, and pairs left for each posting up to which all are compared after the first round. Most
+#: of them do not pass the filters, so looking at one is cheap.
+_ROUNDS, _PAIRS = 2, 60
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -343,7 +346,7 @@ def links(sets: DataFrame) -> DataFrame:
         if not left[0]:
             break
         current = lists.join(mixed.select("gram", "all"), "gram")
-        final = turn == _ROUNDS or left[0] <= 3 * left[1]
+        final = turn == _ROUNDS or left[0] <= (_PAIRS if turn else 3) * left[1]
         pairs = _all_pairs(current) if final else _star_pairs(current, turn)
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
