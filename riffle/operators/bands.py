@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riffle.functions import numbers
+from riffle.functions import numbers, times
 from riffle.functions.labels import BLUE, GREEN, RED, YELLOW
 from riffle.operators.classify import THRESHOLDS
 
@@ -26,6 +26,34 @@ def section_bounds(ranges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+MONTH = "month"
+_EXTREMES = {"level_min": F.min, "level_max": F.max, "x_min": F.min, "x_max": F.max}
+
+
+def monthly_extrema(ranges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, section_id, month, level_min, level_max, x_min, x_max``: what ``section_bounds`` needs, by month.
+
+    A table of these, one row per section and month, stands for a history of any length.
+    """
+    month = F.coalesce(times.month_number(F.col("mountain_time")), F.lit(0)).alias(MONTH)
+    return section_bounds(ranges.select("*", month), [*keys, MONTH]).select(*keys, "section_id", MONTH, *_EXTREMES)
+
+
+def merge_extrema(stored: DataFrame, more: DataFrame, keys: Sequence[str] = (), replace: bool = False) -> DataFrame:
+    """Two tables of monthly extrema as one. With ``replace`` the second one's months are whole and take the place of the
+    first one's, section by section, as when late hours have been corrected; else both count."""
+    place = [*keys, "section_id", MONTH]
+    if replace:
+        return stored.join(more.select(*place), place, "left_anti").unionByName(more)
+    both = stored.unionByName(more)
+    return both.groupBy(*place).agg(*[of(name).alias(name) for name, of in _EXTREMES.items()])
+
+
+def bounds_of_extrema(extrema: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The bounds that ``section_bounds`` finds in the whole history."""
+    return extrema.groupBy(*keys, "section_id").agg(*[of(name).alias(name) for name, of in _EXTREMES.items()])
+
+
 def _bands(*edges: tuple) -> Column:
     """Array of bands from (y1, y2, colour) triples."""
     return F.array(
@@ -104,3 +132,29 @@ def clamped_series(ranges: DataFrame, domain: DataFrame, keys: Sequence[str] = (
         "mountain_time",
         numbers.clamp(level, F.col("domain_min"), F.col("domain_max")).alias("river_level"),
     )
+
+
+def clamped_history(ranges: DataFrame, sections: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``clamped_series`` within the domain of the same ranges, which are derived once.
+
+    A section's series are gathered by month, at most a few rows per hour of it, and the months' extremes give the
+    domain, so what a window sees is a row per month and series.
+    """
+    series = [*keys, "section_id", "section_name", "flow_type"]
+    month = F.coalesce(times.month_number(F.col("mountain_time")), F.lit(0)).alias(MONTH)
+    level = F.col("river_level").cast("double")
+    standard_time = F.when(F.col("flow_type") == "standard", F.col("mountain_time"))
+    months = ranges.select("*", month).groupBy(*series, MONTH).agg(
+        F.collect_list(F.struct("mountain_time", level.alias("level"))).alias("points"),
+        F.min(level).alias("level_min"),
+        F.max(level).alias("level_max"),
+        F.min(standard_time).alias("x_min"),
+        F.max(standard_time).alias("x_max"),
+    )
+    whole = Window.partitionBy(*keys, "section_id")
+    bounded = months.withColumns({name: of(name).over(whole) for name, of in _EXTREMES.items()})
+    banded = _banded(bounded, sections)
+    domain = {"domain_min": F.array_min(F.col("bands.y1")), "domain_max": F.array_max(F.col("bands.y2"))}
+    rows = banded.withColumns(domain).select(*series, *domain, F.inline("points"))
+    clamped = numbers.clamp(F.col("level"), F.col("domain_min"), F.col("domain_max"))
+    return rows.select(*keys, "section_id", "section_name", "flow_type", "mountain_time", clamped.alias("river_level"))

@@ -360,6 +360,30 @@ def sql() -> dict[str, str]:
         "section_levels_long": f"""WITH {chain}, {_long("flow_cfs", "cfs")}
             SELECT mountain_time, data_type, section_id, flow_type, CAST(river_level AS DOUBLE) AS river_level
             FROM long_flow_cfs""",
+        "registry_levels": f"""WITH {_ranges()}
+            SELECT mountain_time, data_type, river_level, section_id, flow_type, flow_unit FROM ranges""",
+        "registry_levels_networks": f"""WITH {net}, {SECTIONS}, {COEFFICIENTS},
+            terms AS (
+              SELECT network_id, section_id, flow_type, flow_unit, (gauge_id + network_id) % {len(GAUGES)} + 1 AS gauge_id,
+                     coef * (1 + network_id % 2) AS coef
+              FROM (SELECT DISTINCT network_id FROM raw), coefficients JOIN sections USING (section_id)
+              WHERE (network_id + section_id) % 3 <> 0),
+            times AS (SELECT DISTINCT network_id, mountain_time, data_type FROM clean),
+            grid AS (
+              SELECT t.*, gauge_id, flow_unit, CASE flow_unit WHEN 'cfs' THEN flow_cfs ELSE stage_ft END AS value
+              FROM times t JOIN (SELECT DISTINCT network_id, gauge_id, flow_unit FROM terms) USING (network_id)
+              LEFT JOIN clean USING (network_id, mountain_time, data_type, gauge_id)),
+            filled AS (
+              SELECT *, coalesce(last_value(value IGNORE NULLS) OVER back, first_value(value IGNORE NULLS) OVER ahead, 0) AS level
+              FROM grid WINDOW
+                back AS (PARTITION BY network_id, gauge_id, flow_unit ORDER BY mountain_time, data_type
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                ahead AS (PARTITION BY network_id, gauge_id, flow_unit ORDER BY mountain_time, data_type
+                          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+            SELECT network_id, mountain_time, data_type, section_id, flow_type, flow_unit,
+              CAST(CAST(round(sum(coef * level), 6) AS FLOAT) AS DOUBLE) AS river_level
+            FROM filled JOIN terms USING (network_id, gauge_id, flow_unit)
+            GROUP BY network_id, mountain_time, data_type, section_id, flow_type, flow_unit""",
         "dim_sections": f"""WITH {chain}, {SECTIONS}, {RIVERS}, {COEFFICIENTS},
             per_gauge AS (SELECT gauge_id, count(*) AS n FROM clean GROUP BY ALL)
             SELECT section_id, section_name, river_name, flow_unit, min_level, medium_level, high_level, max_level,
@@ -391,6 +415,7 @@ def sql() -> dict[str, str]:
         "forecast_view": _view(summary.DEFAULT_SECTIONS),
         "section_view": _view(["The Cabarton"]),
         "section_bounds": f"WITH {_bounds()} SELECT * FROM bounds",
+        "section_bounds_by_month": f"WITH {_bounds()} SELECT * FROM bounds",
         "section_bands": f"WITH {_bands()} SELECT * FROM bands",
         "section_bands_networks": f"WITH {_bands(True)} SELECT * FROM bands",
         "clamped_series": f"""WITH {_bands()},

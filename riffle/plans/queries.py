@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riffle import dims
 from riffle.functions import numbers, times
-from riffle.operators import audit, bands, classify, clean, levels, selection, summary
+from riffle.operators import audit, bands, classify, clean, levels, registry, selection, summary
 from riffle.plans import pipeline
 from riffle.sources import events, ingest, parsers
 
@@ -317,6 +317,26 @@ def section_levels_long(spark, sf_dir):
     return _doubles(levels.section_levels_long(_clean(spark, sf_dir), coefficients, "flow_cfs"))
 
 
+@_query
+def registry_levels(spark, sf_dir):
+    found = registry.section_levels(_clean(spark, sf_dir), dims.coefficients(spark), dims.sections(spark))
+    return _doubles(found)
+
+
+@_query
+def registry_levels_networks(spark, sf_dir):
+    """Each network has formulas of its own: other gauges, twice the weight where its number is odd, and no
+    sections of which every third is missing, another third in each."""
+    keys = events.NETWORK_KEYS
+    networks = _raw(spark, sf_dir).select(*keys).distinct()
+    formulas = dims.coefficients(spark)
+    listed = formulas.agg(F.collect_list(F.struct(*formulas.columns))).scalar()
+    own = networks.select(*keys, F.inline(listed)).filter("(network_id + section_id) % 3 <> 0")
+    moved = F.expr(f"int((gauge_id + network_id) % {events.GAUGE_COUNT} + 1)")
+    own = own.withColumns({"gauge_id": moved, "coef": F.expr("coef * (1 + network_id % 2)")})
+    return _doubles(registry.section_levels(_clean(spark, sf_dir, keys), own, dims.sections(spark), keys))
+
+
 # Section catalogue
 
 
@@ -442,6 +462,11 @@ def section_bounds(spark, sf_dir):
     return bands.section_bounds(_ranges(spark, sf_dir))
 
 
+@_query
+def section_bounds_by_month(spark, sf_dir):
+    return bands.bounds_of_extrema(bands.monthly_extrema(_ranges(spark, sf_dir)))
+
+
 @_query
 def section_bands(spark, sf_dir):
     return bands.section_bands(bands.section_bounds(_ranges(spark, sf_dir)), pipeline.section_dim(spark))
@@ -456,9 +481,7 @@ def section_bands_networks(spark, sf_dir):
 
 @_query
 def clamped_series(spark, sf_dir):
-    ranges = _ranges(spark, sf_dir)
-    domain = bands.chart_domain(bands.section_bounds(ranges), pipeline.section_dim(spark))
-    return bands.clamped_series(ranges, domain)
+    return bands.clamped_history(_ranges(spark, sf_dir), pipeline.section_dim(spark))
 
 
 # Audit
