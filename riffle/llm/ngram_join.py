@@ -270,9 +270,9 @@ def _may_link(a: str, b: str) -> str:
 
 #: Members that one task compares with a leader, and rows of a list that are compared with each other.
 _TOGETHER, _LIST = 200, 1000
-#: Rounds of leaders at most, and pairs left for each posting up to which all are compared after the first round. Most
-#: of them do not pass the filters, so looking at one is cheap.
-_ROUNDS, _PAIRS = 2, 60
+#: Leaders of a list in rounds behind the first, rounds of leaders at most, and pairs left for each posting up to which all
+#: are compared. Most of them do not pass the filters, so looking at one is cheap.
+_LEADERS, _ROUNDS, _PAIRS = 16, 3, 8
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -319,22 +319,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _merged(found: DataFrame) -> DataFrame:
-    """``comp, into`` from links of components ``a, b``: each moves to the smallest it links, and on to where that one moves.
-
-    What moves together is connected; not all that is connected moves together yet.
-    """
-    both = found.select("a", "b").union(found.select("b", "a"))
-    moves = both.groupBy(F.col("a").alias("comp")).agg(F.min("b").alias("near")).select("comp", F.least("comp", "near").alias("into"))
-    on = moves.select(F.col("comp").alias("into"), F.col("into").alias("beyond"))
-    return moves.join(on, "into", "left").select("comp", F.coalesce("beyond", "into").alias("into"))
+def _merged(crossing: DataFrame) -> DataFrame:
+    """``comp, into`` from links of components ``a, b``: each that is connected with a smaller one moves to the smallest."""
+    return components(crossing).filter("comp <> node").select(F.col("node").alias("comp"), F.col("comp").alias("into"))
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """``x, y``: links that connect all that is connected by any links."""
+    """``a, b``: edges that connect all that is connected by any links. A component goes by its smallest mark, and an edge joins
+    two components, so there are few where many rows link."""
     spark = sets.sparkSession
-    lists = postings(sets).withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    lists = shared.stored(lists.withColumn("comp", F.col("mark")), "postings")
+    lists = shared.stored(postings(sets).withColumn("comp", F.col("mark")), "postings")
     found, done = [], None
     for turn in range(_ROUNDS + 1):
         spread = lists.groupBy("gram", "comp").agg(F.count("*").alias("m")).groupBy("gram").agg(
@@ -352,19 +346,20 @@ def links(sets: DataFrame) -> DataFrame:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         compared = shared.stored(verify(shared.stored(pairs, "pairs"), sets), "compared")
         linked = compared.filter("linked").select("x", "y")
-        found.append(linked)
+        label = shared.stored(current.select("mark", "comp").distinct(), "members")
+        a, b = (label.select(F.col("mark").alias(end), F.col("comp").alias(name)) for end, name in (("x", "a"), ("y", "b")))
+        crossing = linked.join(a, "x").join(b, "y").select("a", "b").distinct()
         if final:
+            found.append(crossing)
             break
+        merged = shared.stored(_merged(crossing), "merged")
+        found.append(merged.select(F.col("comp").alias("a"), F.col("into").alias("b")))
         both_ways = compared.select("x", "y").union(compared.select("y", "x"))
         done = both_ways if done is None else done.union(both_ways)
-        label = shared.stored(current.select("mark", "comp").distinct(), "members")
-        a, b = (label.select(F.col("mark").alias(end), F.col("comp").alias(name)) for end, name in (("x", "a"), ("y", "b")))
-        merged = _merged(linked.join(a, "x").join(b, "y").filter("a <> b"))
-        moved = label.join(merged, "comp").select("mark", "into")
-        lists = current.drop("all").join(moved, "mark", "left")
+        lists = current.drop("all").join(merged, "comp", "left")
         lists = shared.stored(lists.withColumn("comp", F.coalesce("into", "comp")).drop("into"), "postings")
     if not found:
-        return spark.createDataFrame([], "x long, y long")
+        return spark.createDataFrame([], "a long, b long")
     result = found[0]
     for more in found[1:]:
         result = result.union(more)
@@ -372,12 +367,19 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def _star_pairs(current: DataFrame, turn: int) -> DataFrame:
-    """Each document with the leader of each of its lists, where that is of another component and passes the filters."""
-    turned = F.xxhash64("mark", F.lit(turn))
+    """Each document with the leaders of each of its lists, where those are of another component and pass the filters.
+
+    A list has one leader per class of sizes in the first round, and up to ``_LEADERS`` in later ones, which see what is hard to
+    connect; the borders of the classes move from round to round.
+    """
+    of_size = F.floor(F.log("n") / F.log(F.lit(WHOLE / PARTS)) + turn / 2).cast("int")
+    sized = current.withColumn("size_class", of_size)
     own = ("mark", "comp", "n", "pos", *_TAIL)
-    leaders = current.groupBy("gram", "size_class").agg(*[F.min_by(c, turned).alias(f"lead_{c}") for c in own])
+    slot = shared.bucket("mark", _LEADERS if turn else 1, 50 + turn)
+    turned = F.xxhash64("mark", F.lit(turn))
+    leaders = sized.groupBy("gram", "size_class", slot.alias("slot")).agg(*[F.min_by(c, turned).alias(f"lead_{c}") for c in own])
     leaders = leaders.select("gram", "size_class", F.struct(*[F.col(f"lead_{c}").alias(c) for c in own]).alias("lead"))
-    met = current.alias("a").join(leaders, ["gram", "size_class"]).filter(f"a.comp <> lead.comp AND {_may_link('a', 'lead')}")
+    met = sized.alias("a").join(leaders, ["gram", "size_class"]).filter(f"a.comp <> lead.comp AND {_may_link('a', 'lead')}")
     return met.select(
         F.expr("greatest(a.mark, lead.mark) AS x"), F.expr("least(a.mark, lead.mark) AS y")
     ).distinct()
@@ -410,7 +412,7 @@ def _joined(rows: DataFrame) -> DataFrame:
     distinct = classes.agg(F.sum("n")).first()[0] or 0
     total = keyed.agg(F.sum("n")).first()[0] or 0
     sets = shared.stored(ordered_sets(rows, classes.select(F.col("chosen").alias("mark")), total, distinct), "sets")
-    labelled = components(links(sets).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    labelled = components(links(sets))
     placed = classes.join(labelled, F.col("chosen") == F.col("node"), "left")
     placed = placed.select("key", "rep", F.coalesce("comp", "chosen").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
