@@ -64,7 +64,7 @@ def section_levels(clean: DataFrame, coefficients: DataFrame, sections: DataFram
     """``keys, mountain_time, data_type, river_level, section_id, flow_type, flow_unit``: each section in its own unit.
 
     ``coefficients`` has ``section_id, flow_type, gauge_id, coef``, ``sections`` has ``section_id, flow_unit``; see ``terms_of``
-    for keys. A sum has no fixed order, so it is rounded to six decimals before the narrowing cast.
+    for keys. A sum has no fixed order, so it is rounded to twelve decimals, far below what the narrowing cast keeps.
     """
     terms = terms_of(coefficients, sections, keys)
     own = [k for k in keys if k in terms.columns]
@@ -72,6 +72,6 @@ def section_levels(clean: DataFrame, coefficients: DataFrame, sections: DataFram
         raise ValueError(f"formulas must hold all of {list(keys)} or none")
     filled = filled_series(clean, terms.select(*own, *SERIES), keys)
     met = filled.join(terms.select(*own, *SERIES, "section_id", "flow_type", "coef"), [*own, *SERIES])
-    level = F.round(F.sum(F.col("coef") * F.col("value")), 6).cast("float").alias("river_level")
+    level = F.round(F.sum(F.col("coef") * F.col("value")), 12).cast("float").alias("river_level")
     summed = met.groupBy(*keys, BLOCK, *INDEX, "section_id", "flow_type", "flow_unit").agg(level)
     return summed.select(*keys, *INDEX, "river_level", "section_id", "flow_type", "flow_unit")

@@ -381,7 +381,7 @@ def sql() -> dict[str, str]:
                 ahead AS (PARTITION BY network_id, gauge_id, flow_unit ORDER BY mountain_time, data_type
                           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
             SELECT network_id, mountain_time, data_type, section_id, flow_type, flow_unit,
-              CAST(CAST(round(sum(coef * level), 6) AS FLOAT) AS DOUBLE) AS river_level
+              CAST(CAST(round(sum(coef * level), 12) AS FLOAT) AS DOUBLE) AS river_level
             FROM filled JOIN terms USING (network_id, gauge_id, flow_unit)
             GROUP BY network_id, mountain_time, data_type, section_id, flow_type, flow_unit""",
         "dim_sections": f"""WITH {chain}, {SECTIONS}, {RIVERS}, {COEFFICIENTS},
