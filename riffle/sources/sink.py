@@ -3,6 +3,10 @@
 Every refresh is a new ``run_id`` partition of calls, so nothing is overwritten while it may be read,
 and parsing happens once. A row in the small run table commits it: a refresh that dies in between
 leaves calls that no reader selects. Readings and audit are views of the calls of a window of runs.
+
+A call stored twice counts once, as the newer run has it. That is settled when a run is written: the calls that it has in
+common with stored runs go to a table of replaced calls, by their ids alone. A reader leaves those out and never
+orders or shuffles calls with their readings. One writer at a time stores runs.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from datetime import datetime, timedelta
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +27,8 @@ from riffle.sources import ingest
 
 # Fixed value: how old a stored refresh may be.
 MAX_AGE_MINUTES = 60
+#: Replaced calls, ids of some hundred bytes, up to which their table is broadcast.
+BROADCAST_CALLS = 20_000
 
 Refresh = Callable[[], DataFrame]
 
@@ -41,18 +47,51 @@ def write_run(
 ) -> None:
     """Store one refresh under its own partition; writing the same run again replaces it.
 
-    A column that the stored schema does not hold would be lost to readers, so it is refused.
+    A column that the stored schema does not hold would be lost to readers, so it is refused. Of rows of one call within the run one
+    is kept.
     """
     schema = schemas.keyed(schemas.CALLS, keys)
     stamped = stamp_run(calls, run_time)
     if set(stamped.columns) != set(schema.names):
         raise ValueError(f"calls must have the columns {schema.names}, not {stamped.columns}")
-    stamped.select(schema.names).write.mode("overwrite").parquet(f"{path}/calls/run_id={run_id}")
+    call = _call(keys)
+    stamped.select(schema.names).dropDuplicates(call).write.mode("overwrite").parquet(f"{path}/calls/run_id={run_id}")
     spark = calls.sparkSession
+    own = spark.read.schema(schema).parquet(f"{path}/calls/run_id={run_id}").select(*call)
+    committed = runs(spark, path)
+    replaced = spark.createDataFrame([], _replaced(keys))
+    if committed is not None:
+        others = _stored(spark, path, committed.filter(F.col("run_id") != run_id), keys).select(*call, "run_id", "run_time")
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in call]
+        common = others.alias("o").join(own.alias("n"), same).select("o.*")
+        newer = F.struct("run_time", "run_id") > F.struct(times.ntz(run_time), F.lit(run_id))
+        replaced = common.select(
+            *call,
+            F.when(newer, F.lit(run_id)).otherwise(F.col("run_id")).alias("lost"),
+            F.when(newer, F.col("run_id")).otherwise(F.lit(run_id)).alias("won"),
+        )
+    replaced.write.mode("overwrite").parquet(f"{path}/replaced/run_id={run_id}")
     run = spark.range(1).select(times.ntz(run_time).alias("run_time"))
     run.coalesce(1).write.mode("overwrite").parquet(f"{path}/runs/run_id={run_id}")
 
 
+def _call(keys: T.StructType) -> list[str]:
+    """What tells calls apart."""
+    return [*keys.names, "source", "gauge_id", "call_id"]
+
+
+def _replaced(keys: T.StructType) -> T.StructType:
+    names = [schemas.CALLS[c] for c in ("source", "gauge_id", "call_id")]
+    return T.StructType([*keys.fields, *names, *[T.StructField(c, T.StringType()) for c in ("lost", "won")]])
+
+
+def _stored(spark: SparkSession, path: str, chosen: DataFrame, keys: T.StructType) -> DataFrame:
+    """All rows of the chosen runs, with their ``run_id``. Runs are folders, which the join prunes."""
+    with_run = T.StructType([*schemas.keyed(schemas.CALLS, keys).fields, T.StructField("run_id", T.StringType())])
+    stored = spark.read.schema(with_run).parquet(f"{path}/calls")
+    return stored.join(chosen.select("run_id"), "run_id", "left_semi")
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame | None:
     """``run_id, run_time`` of all committed refreshes; None when there is none."""
     try:
@@ -83,10 +122,18 @@ def read_calls(
         chosen = chosen.filter(F.col("run_time") >= times.ntz(since))
     if until is not None:
         chosen = chosen.filter(F.col("run_time") <= times.ntz(until))
-    with_run = T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
-    stored = spark.read.schema(with_run).parquet(f"{path}/calls").join(chosen.select("run_id"), "run_id", "left_semi")
-    newest = Window.partitionBy(*keys.names, "source", "gauge_id", "call_id").orderBy(F.desc("run_time"), F.desc("run_id"))
-    return stored.withColumn("turn", F.row_number().over(newest)).filter("turn = 1").drop("turn", "run_id")
+    stored = _stored(spark, path, chosen, keys)
+    # Only what another run of the window has replaced; such calls are few, and mostly there are none.
+    written = spark.read.schema(_replaced(keys)).parquet(f"{path}/replaced")
+    replaced = written.join(chosen.select(F.col("run_id").alias("won")), "won", "left_semi")
+    replaced = replaced.join(chosen.select(F.col("run_id").alias("lost")), "lost", "left_semi")
+    replaced = replaced.select(*_call(keys), F.col("lost").alias("run_id")).distinct()
+    n = replaced.count()
+    if n:
+        listed = F.broadcast(replaced) if n <= BROADCAST_CALLS else replaced
+        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*_call(keys), "run_id")]
+        stored = stored.alias("s").join(listed.alias("r"), same, "left_anti")
+    return stored.select(*schema.names)
 
 
 def read_window(
