@@ -6,8 +6,8 @@ their frequencies back. Ordered rarest first, a document can only be similar to
 its prefix, so n-grams that no other document holds cost nothing, and a document with too many
 of them is done. Prefix postings meet by n-gram under length, positional and suffix filters.
 
-Groups of similar documents are not expanded into pairs: in rounds, each document is verified against the leader of
-each of its postings lists, at most a pair per posting, and lists whose documents are all connected drop out. What pairs
+Groups of similar documents are not expanded into pairs: in rounds, each document is verified against a few leaders of
+each of its postings lists, what links becomes one component, and lists whose documents are all connected drop out. What pairs
 between different components are left are then verified, each once, so that no link is lost.
 
 Rows are told apart by marks of their own, so ids may be repeated or missing.
