@@ -50,7 +50,9 @@ def _packed(numbered: DataFrame, series: DataFrame, keys: Sequence[str]) -> Data
         listed = series.select(*SERIES).distinct().agg(F.collect_list(F.struct(*SERIES))).scalar()
         wanted = blocks.select("*", F.inline(listed))
     units = [F.struct(F.lit(unit).alias("flow_unit"), F.col(metric).alias("value")) for unit, metric in dims.METRIC_OF_UNIT.items()]
-    values = numbered.select(*keys, BLOCK, "number", "gauge_id", F.inline(F.array(*units))).filter("value IS NOT NULL")
+    values = numbered.select(*keys, BLOCK, "mountain_time", "number", "gauge_id", F.inline(F.array(*units))).filter("value IS NOT NULL")
+    # A reading without a time is a row of the grid, but its value belongs nowhere.
+    values = values.filter("mountain_time IS NOT NULL")
     place = [*keys, BLOCK, *SERIES]
     held = values.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("number", "value"))).alias("pairs"))
     held = held.select(*place, F.col("pairs.number").alias("numbers"), F.col("pairs.value").alias("known"))

@@ -97,6 +97,13 @@ def test_months_are_filled_and_summed_as_by_hand(spark):
     assert sorted((r.network_id, r.mountain_time, r.gauge_id, r.flow_unit, r.value) for r in long.collect()) == sorted(series)
 
 
+def test_a_reading_without_a_time_is_a_time_but_no_value(spark):
+    timeless = (1, "usgs", "observed", None, None, 50.0, 50.0)
+    found = registry.section_levels(keyed(spark, {1: [timeless, reading(1, 0, 2.0)]}), *formula_tables(spark), ("network_id",))
+    levels_found = {(r.mountain_time, r.river_level) for r in found.filter("section_id = 7 AND flow_type = 'standard'").collect()}
+    assert levels_found == {(None, 3.0), (T0, 3.0)}
+
+
 def test_cells_of_the_grid_are_not_moved(spark):
     hours = [reading(1, T0 + timedelta(hours=i), 1.0, 2.0) for i in range(48)]
     found = registry.section_levels(keyed(spark, {1: hours}), *formula_tables(spark), ("network_id",))
