@@ -324,22 +324,31 @@ def _merged(crossing: DataFrame) -> DataFrame:
     return components(crossing).filter("comp <> node").select(F.col("node").alias("comp"), F.col("comp").alias("into"))
 
 
+def _mixed(lists: DataFrame) -> DataFrame:
+    """``gram, all, same, comps`` of the lists that still join different components. Only these matter."""
+    spread = lists.groupBy("gram", "comp").agg(F.count("*").alias("m")).groupBy("gram").agg(
+        F.sum("m").alias("all"), F.expr("sum(m * m)").alias("same"), F.count("*").alias("comps")
+    )
+    return shared.stored(spread.filter("comps > 1"), "mixed")
+
+
+def _moved(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """The rows with their component after a merge."""
+    return rows.join(merged, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """``a, b``: edges that connect all that is connected by any links. A component goes by its smallest mark, and an edge joins
     two components, so there are few where many rows link."""
     spark = sets.sparkSession
     lists = shared.stored(postings(sets).withColumn("comp", F.col("mark")), "postings")
     found, done = [], None
+    mixed = _mixed(lists)
+    current = lists.join(mixed.select("gram", "all"), "gram")
     for turn in range(_ROUNDS + 1):
-        spread = lists.groupBy("gram", "comp").agg(F.count("*").alias("m")).groupBy("gram").agg(
-            F.sum("m").alias("all"), F.expr("sum(m * m)").alias("same"), F.count("*").alias("comps")
-        )
-        # Only lists that still join different components matter from here on.
-        mixed = shared.stored(spread.filter("comps > 1"), "mixed")
         left = mixed.agg(F.sum(F.expr("(all * all - same) div 2")), F.sum("all")).first()
         if not left[0]:
             break
-        current = lists.join(mixed.select("gram", "all"), "gram")
         final = turn == _ROUNDS or left[0] <= (_PAIRS if turn else 3) * left[1]
         pairs = _all_pairs(current) if final else _star_pairs(current, turn)
         if done is not None:
@@ -356,8 +365,9 @@ def links(sets: DataFrame) -> DataFrame:
         found.append(merged.select(F.col("comp").alias("a"), F.col("into").alias("b")))
         both_ways = compared.select("x", "y").union(compared.select("y", "x"))
         done = both_ways if done is None else done.union(both_ways)
-        lists = current.drop("all").join(merged, "comp", "left")
-        lists = shared.stored(lists.withColumn("comp", F.coalesce("into", "comp")).drop("into"), "postings")
+        # What is still mixed shows in the components alone; only its rows are stored and dealt in the next round.
+        mixed = _mixed(_moved(lists.select("gram", "comp"), merged))
+        lists = current = shared.stored(_moved(lists.drop("all").join(mixed.select("gram", "all"), "gram"), merged), "postings")
     if not found:
         return spark.createDataFrame([], "a long, b long")
     result = found[0]

@@ -168,3 +168,21 @@ def test_filters_never_drop_a_link():
         often = defaultdict(int, {x: int(rng.integers(1, 9)) for x in a | b})
         x, y = (sorted(s, key=lambda t: (often[t], t)) for s in (a, b))
         assert set(x[: ngram_join.prefix(len(x))]) & set(y[: ngram_join.prefix(len(y))])
+
+
+def test_lists_that_join_nothing_more_are_not_kept(spark, monkeypatch):
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join([*words, f"end{i}"]) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept, stored = [], ngram_join.shared.stored
+
+    def noted(df, name):
+        table = stored(df, name)
+        if name == "postings":
+            kept.append(table.count())
+        return table
+
+    monkeypatch.setattr(ngram_join.shared, "stored", noted)
+    assert {r.component_id for r in ngram_join.join(docs).collect()} == {0}
+    # After the first round all are one component, so no list is left for a second.
+    assert kept[0] > 0 and kept[1:] == [0]
